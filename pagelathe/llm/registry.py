@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelathe.llm import token_tables
+from pagelathe.llm import mixing, packing, token_tables, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": warc.op3_warc,
+    "op4_packing": packing.op4_packing,
+    "op6_mixing": mixing.op6_mixing,
     "op7_token_tables": token_tables.op7_token_tables,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.OP3_SQL,
+}
