@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelathe.llm import mixing, packing, token_tables, warc
+from pagelathe.llm import mixing, ngram_join, packing, token_tables, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,
     "op6_mixing": mixing.op6_mixing,
