@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelathe.llm import ann, mixing, ngram_join, packing, token_tables, warc
+from pagelathe.llm import ann, fingerprints, mixing, ngram_join, packing, token_tables, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": packing.op4_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_tables": token_tables.op7_token_tables,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_ann": ann.op9_ann,
 }
 
