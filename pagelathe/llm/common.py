@@ -67,7 +67,7 @@ def ranked(df: DataFrame, keys: list[str], identity: list[str], out: str = "rank
     Rows of a key are dealt into hash buckets; each (key, bucket) is numbered by itself, and the bucket
     counts, summed over the buckets before, shift the numbers. No task ever holds a whole key.
     """
-    buckets = max(256, 8 * shuffle_partitions(df.sparkSession))
+    buckets = max(64, 2 * shuffle_partitions(df.sparkSession))
     hashed = F.xxhash64(*identity, F.lit(7))
     parts = df.withColumn("_hash", hashed).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import ranked, table, written
+from pagelathe.llm.common import as_long, ranked, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source's target and no document's copies exceed so many times its words.
@@ -127,48 +127,46 @@ def _class_copies(cells: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs plus size, source_size, target and copies, one row each.
+    """docs plus size, source_size, target and copies, one row for each row of docs.
 
-    docs has columns source and text and any identity column doc_id; a null text has size 0, a null source is a
-    source of its own, documents without words get no copies. Rows with one doc_id are ranked apart by their
-    size; identical rows of a class may swap. An empty table stays empty.
+    docs has columns doc_id, source and text; a null text has size 0, a null source is a source of its own,
+    documents without words get no copies. Repeated rows are ranked like others, each with copies of its own. Columns of
+    docs that bear the names of new ones are replaced. An empty table stays empty.
     """
-    sized = docs.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col("text").cast("string")).alias("_size"))
-    sized = written(sized.withColumn("_class", _class_of(F.col("_size"))), "mix-sizes")
-    plan = mix_plan(sized)
-    copies = plan.select("_id", F.col("_source").alias("_s"), F.col("_size").alias("size"), "source_size", "target", "copies")
-    return docs.join(copies, (F.col("doc_id") == F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))).drop("_id", "_s")
+    wide = docs.drop("size", "source_size", "target", "copies")
+    sized = wide.withColumns({"_id": as_long("doc_id"), "_source": F.col("source").cast("string"), "_size": word_count(F.col("text").cast("string"))})
+    sized = sized.withColumn("_class", _class_of(F.col("_size")))
+    narrow = written(sized.select("_source", "_size", "_class"), "mix-sizes")
+    return mix_plan(narrow, sized).withColumnRenamed("_size", "size").drop("_id", "_source", "_class")
 
 
-def mix_plan(sized: DataFrame) -> DataFrame:
-    """Rows of (_id, _source, _size, _class) with source_size, target and copies."""
+def mix_plan(sizes: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with source_size, target and copies. sizes has _source, _size and _class of every row, rows also _id."""
     cells = written(
-        sized.groupBy(F.col("_source").alias("source"), F.col("_class").alias("size_class")).agg(F.count("*").alias("n"), F.sum("_size").alias("words")),
+        sizes.groupBy(F.col("_source").alias("source"), F.col("_class").alias("size_class")).agg(F.count("*").alias("n"), F.sum("_size").alias("words")),
         "mix-cells",
     )
     targets = written(source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size"))), "mix-targets")
     rates = balanced_rates(cells.where("words > 0").groupBy("source", "size_class").agg(F.sum("words").alias("words")), targets)
     rated = cells.where("words > 0").join(rates.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    coarse = _class_copies(rated)
+    coarse = _class_copies(rated).select(F.col("source").alias("_cs"), F.col("size_class").alias("_cc"), "copies")
+    goal = targets.select(F.col("source").alias("_ts"), "source_size", "target")
     given = written(
-        coarse.join(
-            cells.select(F.col("source").alias("_s"), F.col("size_class").alias("_c"), "n"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size_class") == F.col("_c"))
-        ).select(F.col("source").alias("_s"), F.col("size_class").alias("_c"), F.col("copies").alias("class_copies"), "n"),
+        cells.join(goal, F.col("source").eqNullSafe(F.col("_ts")))
+        .join(coarse, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("size_class") == F.col("_cc")), "left")
+        .select(F.col("source").alias("_s"), F.col("size_class").alias("_c"), "source_size", "target", F.coalesce("copies", F.lit(0)).alias("_copies"), F.col("n").alias("_of")),
         "mix-copies",
     )
-    numbered = ranked(sized, ["_source", "_class"], ["_id", "_size"], "_rank")
-    each = F.floor(F.col("class_copies") / F.col("n")) + (F.col("_rank") < F.col("class_copies") % F.col("n")).cast("long")
-    out = numbered.join(given, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")), "left").select(
-        "_id", "_source", "_size", F.coalesce(each, F.lit(0)).cast("long").alias("copies")
-    )
-    goal = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    return out.join(goal, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    numbered = ranked(rows, ["_source", "_class"], ["_id", "_size"], "_rank")
+    each = F.floor(F.col("_copies") / F.col("_of")) + (F.col("_rank") < F.col("_copies") % F.col("_of")).cast("long")
+    found = numbered.join(given, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
+    return found.withColumn("copies", each.cast("long")).drop("_rank", "_s", "_c", "_copies", "_of")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
-    plan = mix_plan(written(sized.withColumn("_class", _class_of(F.col("_size"))), "mix-sizes"))
-    return plan.select(
+    sized = docs.select(as_long("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
+    sized = written(sized.withColumn("_class", _class_of(F.col("_size"))), "mix-sizes")
+    return mix_plan(sized, sized).select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"), F.col("_source").alias("source"), "copies"
     )
