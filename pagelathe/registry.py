@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from pagelathe.plans import layout_queries, text_queries
 
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = (text_queries, layout_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for p in _PARTS for name, f in p.QUERIES.items()}
+
+ORACLE_SQL: dict[str, str] = {name: sql for p in _PARTS for name, sql in p.ORACLE_SQL.items()}
 
 FLAGSHIP = "line_profile"
