@@ -186,7 +186,7 @@ def cells_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS_REPEATED_SQL = f"""
 WITH c AS (SELECT *, sum("repeat") OVER (PARTITION BY doc_id) AS n, sum("repeat") OVER (PARTITION BY doc_id, "row" ORDER BY col) - "repeat" AS f FROM {INPUT_SQL['cells']})
-SELECT doc_id, "row", CAST(unnest(range(f, f + "repeat")) AS INT) AS col, text FROM c WHERE n <= 24
+SELECT doc_id, "row", CAST(unnest(range(CAST(f AS BIGINT), CAST(f AS BIGINT) + "repeat")) AS INT) AS col, text FROM c WHERE n <= 24
 """
 
 
