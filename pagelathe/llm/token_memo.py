@@ -10,14 +10,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The memo is emptied beyond so many pieces or characters. This bounds a worker's memory, not the result.
-MOST_PIECES = 700_000
-MOST_CHARS = 24_000_000
+MOST_PIECES = 1_200_000
+MOST_CHARS = 30_000_000
 
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than a single blank or line feed, in Python's wide sense.
@@ -75,7 +76,7 @@ class TokenMemo:
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
             return _before_blank, " "
         parts = pre.get("pretokenizers") or []
-        drops_space = parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s\p{L}\p{N}]+" in str(parts[0].get("pattern"))
+        drops_space = parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "")
         kinds = {x.get("type") for x in (norm or {}).get("normalizers", [])}
         if drops_space and kinds <= {"NFC", "Replace", "Lowercase"}:
             return _at_blanks, ""
@@ -96,16 +97,18 @@ class TokenMemo:
 
     def _learn(self) -> None:
         fresh, known = self.memo.fresh, len(self.memo) - len(self.memo.fresh)
+        self.starts, self.counts = (self._grown(x, known + len(fresh)) for x in (self.starts, self.counts))
         for at in range(0, len(fresh), 4096):
             texts = [p[0] if isinstance(p, tuple) else self.lead + p for p in fresh[at : at + 4096]]
             self.chars += sum(map(len, texts))
-            for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), known + at):
-                ids = e.ids
-                self.pool = self._grown(self.pool, self.used + len(ids))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.starts, self.counts = self._grown(self.starts, k + 1), self._grown(self.counts, k + 1)
-                self.starts[k], self.counts[k] = self.used, len(ids)
-                self.used += len(ids)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            total = int(n.sum())
+            self.pool = self._grown(self.pool, self.used + total)
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+            own = slice(known + at, known + at + len(found))
+            self.starts[own], self.counts[own] = self.used + np.cumsum(n) - n, n
+            self.used += total
         fresh.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
