@@ -155,7 +155,7 @@ def cell_kind(value: Column) -> Column:
     """empty, number, boolean or text. Numbers are what a floating-point literal may look like, inf and nan included."""
     t = F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     number = t.rlike(r"^[+-]?(?i:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)$")
-    return F.when(t == "", "empty").when(number, "number").when(F.lower(t).isin("true", "false"), "boolean").otherwise("text")
+    return F.when(t.isNull(), None).when(t == "", "empty").when(number, "number").when(F.lower(t).isin("true", "false"), "boolean").otherwise("text")
 
 
 def cell_number(value: Column) -> Column:

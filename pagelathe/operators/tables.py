@@ -152,7 +152,7 @@ def otsl_to_html(source: str | None) -> str:
     for text, r, c, last_r, last_c in cells:
         spans = (f' rowspan="{last_r - r + 1}"' if last_r > r else "") + (f' colspan="{last_c - c + 1}"' if last_c > c else "")
         lines.setdefault(r, []).append(f"<td{spans}>{html.escape(text, quote=False)}</td>")
-    return "<table>" + "".join(f"<tr>{''.join(lines.get(r, []))}</tr>" for r in range(max(lines, default=-1) + 1)) + "</table>"
+    return "<table>" + "".join(f"<tr>{''.join(lines.get(r, []))}</tr>" for r in range(max((c[3] for c in cells), default=-1) + 1)) + "</table>"
 
 
 def otsl_html(source: Column) -> Column:
