@@ -97,7 +97,8 @@ RULES: list[tuple[str, str]] = [
 
 _COMMENT = r"(?m)^[ \t]*(//+|#+|\*+|--+)[ \t]*"
 _WRAPPED = r"\r?\n[ \t]*([a-z(])"
-_END = r"([.!?;:]+)[ \t\r]+"
+_WRAPPED_CAPITALS = r"([A-Z,])\r?\n[ \t]*([A-Z]{2})"
+_END = r"([.!?;]+)[ \t\r]+"
 _SPDX = r"spdx-license-identifier\s*:?\s*([a-z0-9.+-]+)"
 
 
@@ -111,10 +112,10 @@ def _anchored(lowered: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Normalised licence-like sentences, in order: lower case, words and versions, single blanks.
 
-    Comment marks go, a line that begins in lower case continues the line before, and a sentence ends with
-    its line or at a mark followed by white space.
+    Comment marks go, a line that begins in lower case, or in capitals like the end of the line before, continues
+    that line, and a sentence ends with its line or at a mark followed by white space.
     """
-    joined = F.regexp_replace(F.regexp_replace(text, _COMMENT, ""), _WRAPPED, " $1")
+    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _COMMENT, ""), _WRAPPED, " $1"), _WRAPPED_CAPITALS, "$1 $2")
     cut = F.split(F.regexp_replace(joined, _END, "$1\n"), "\n")
     likely = F.filter(cut, lambda s: _anchored(F.lower(s)))
     plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.+/-]+", " ")), "[. ]+$", "")
@@ -187,7 +188,7 @@ def _sql() -> str:
         last = f"r{k}"
     return f"""
 WITH cut AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, {q(_COMMENT)}, '', 'g'), {q(_WRAPPED)}, ' \\1', 'g'), {q(_END)}, '\\1' || chr(10), 'g'), chr(10)), lambda s: {hit('lower(s)')}) AS s
+  SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {q(_COMMENT)}, '', 'g'), {q(_WRAPPED)}, ' \\1', 'g'), {q(_WRAPPED_CAPITALS)}, '\\1 \\2', 'g'), {q(_END)}, '\\1' || chr(10), 'g'), chr(10)), lambda s: {hit('lower(s)')}) AS s
   FROM documents WHERE {hit('lower(text)')}
 ), plain AS (
   SELECT doc_id, list_transform(s, lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^a-z0-9.+/-]+', ' ', 'g')), '[. ]+$', '')) AS s FROM cut
