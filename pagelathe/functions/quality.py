@@ -66,3 +66,26 @@ def is_cid_garbage(text: Column) -> Column:
 
 def private_use_runs(text: Column) -> Column:
     return count(text, r"[\x{E000}-\x{F8FF}]{2,}")
+
+
+# Share of each letter, a to z, in English text, in thousandths.
+ENGLISH = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
+COSINE_OWN, COSINE_SORTED = 0.60, 0.90
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(length > 0, dot(a, b) / length)
+
+
+def letter_shape(text: Column) -> Column:
+    """(own, sorted): cosines of a text's letter counts with English, letter by letter and rank by rank."""
+    counts, english = letter_counts(text), F.array(*map(F.lit, ENGLISH))
+    return F.struct(_cosine(counts, english).alias("own"), _cosine(F.sort_array(counts), F.sort_array(english)).alias("sorted"))
+
+
+def looks_substituted(text: Column) -> Column:
+    """Letters as unevenly spread as in English, but not the same ones: a replaced alphabet."""
+    shape = letter_shape(text)
+    return (count(text, "[A-Za-z]") >= CIPHER_LEAST_LETTERS) & (shape["own"] < COSINE_OWN) & (shape["sorted"] >= COSINE_SORTED)

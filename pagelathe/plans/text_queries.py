@@ -183,6 +183,19 @@ FROM d
 """
 
 
+def letter_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = Q.letter_shape(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(shape["own"], 6).alias("own"), F.round(shape["sorted"], 6).alias("ranked"), Q.looks_substituted(F.col("text")).alias("substituted"))
+
+
+_LETTERS = ", ".join(f"length(text) - length(replace(lower(text), '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz")
+LETTER_SHAPES_SQL = f"""
+WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, [{_LETTERS}]::DOUBLE[] AS n, {Q.ENGLISH}::DOUBLE[] AS e FROM documents),
+s AS (SELECT doc_id, letters, CASE WHEN letters > 0 THEN list_cosine_similarity(n, e) END AS own, CASE WHEN letters > 0 THEN list_cosine_similarity(list_sort(n), list_sort(e)) END AS ranked FROM c)
+SELECT doc_id, round(own, 6) AS own, round(ranked, 6) AS ranked, letters >= {Q.CIPHER_LEAST_LETTERS} AND own < {Q.COSINE_OWN} AND ranked >= {Q.COSINE_SORTED} AS substituted FROM s
+"""
+
+
 def sparse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
     return D.needs_ocr(pages)
@@ -242,7 +255,7 @@ ASSETS_SQL = "SELECT sha256(text) AS sha256, sha256(text) || '.png' AS path, CAS
 
 QUERIES = {
     "line_profile": line_profile, "line_kinds": line_kinds, "page_numbers_dropped": page_numbers_dropped, "code_blocks": code_blocks, "markdown_text": markdown_text,
-    "running_lines_stripped": running_lines_stripped, "latex_repaired": latex_repaired, "text_cleaned": text_cleaned, "text_quality": text_quality, "sparse_text": sparse_text,
+    "running_lines_stripped": running_lines_stripped, "latex_repaired": latex_repaired, "text_cleaned": text_cleaned, "text_quality": text_quality, "letter_shapes": letter_shapes, "sparse_text": sparse_text,
     "cell_values": cell_values, "page_ranges": page_ranges, "cache_misses": cache_misses, "assets": assets,
 }
 ORACLE_SQL = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}
