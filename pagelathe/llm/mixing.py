@@ -130,14 +130,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     """docs plus size, source_size, target and copies, one row for each row of docs.
 
     docs has columns doc_id, source and text; a null text has size 0, a null source is a source of its own,
-    documents without words get no copies. Repeated rows are ranked like others, each with copies of its own. Columns of
-    docs that bear the names of new ones are replaced. An empty table stays empty.
+    documents without words get no copies. Rows alike in all three are one unit of the mix, of the size of all of
+    them, and get the same copies. Columns of docs that bear the names of new ones are replaced. An empty table stays
+    empty. Ranks and copies are worked out on narrow rows; the texts travel once, to meet their copies.
     """
     wide = docs.drop("size", "source_size", "target", "copies")
-    sized = wide.withColumns({"_id": as_long("doc_id"), "_source": F.col("source").cast("string"), "_size": word_count(F.col("text").cast("string"))})
-    sized = sized.withColumn("_class", _class_of(F.col("_size")))
-    narrow = written(sized.select("_source", "_size", "_class"), "mix-sizes")
-    return mix_plan(narrow, sized).withColumnRenamed("_size", "size").drop("_id", "_source", "_class")
+    key = F.xxhash64("text")
+    rows = wide.select(as_long("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), key.alias("_key"), word_count(F.col("text").cast("string")).alias("_each"))
+    units = rows.groupBy("_id", "_source", "_key").agg(F.sum("_each").alias("_size"), F.first("_each").alias("size"))
+    units = written(units.withColumn("_class", _class_of(F.col("_size"))), "mix-units")
+    plan = mix_plan(units, units).select(F.col("_id").alias("_i"), F.col("_source").alias("_s"), "_key", "size", "source_size", "target", "copies")
+    same = as_long("doc_id").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (key == F.col("_key"))
+    return wide.join(written(plan, "mix-plan"), same).drop("_i", "_s", "_key")
 
 
 def mix_plan(sizes: DataFrame, rows: DataFrame) -> DataFrame:
