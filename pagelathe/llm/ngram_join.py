@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import as_long, components, table, written
+from pagelathe.llm.common import as_long, components, ranked, table, written
 from pagelathe.llm.shingles import byte_slices, lower_ascii, set_signature, shingle_sets
 
 #: Counters of the sketch, a power of two. Being approximate, they only order the n-grams.
@@ -36,7 +36,7 @@ CHUNK_BITS = 16
 #: Columns with more classes than this are multiplied in blocks of rows.
 LONG = 24
 #: Rows of a block of a group of classes.
-BLOCK = 256
+BLOCK = 128
 _COLUMNS = 8192
 
 
@@ -136,7 +136,7 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, frequency: np.ndar
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "gram long, sig long, n int")
 
 
-def _column_products(entries: DataFrame, num: int, den: int) -> DataFrame:
+def _column_products(entries: DataFrame, num: int, den: int, long_column: int) -> DataFrame:
     """(a, na, b, nb, shared) partial counts of pairs; and (a, na, b) with shared null: a is in a long column of hub b."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +147,14 @@ def _column_products(entries: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             cut = int(np.searchsorted(got[0], got[0][-1]))
             rest = [x[cut:] for x in got]
-            yield from _columns(*(x[:cut] for x in got), num, den)
-        yield from _columns(*rest, num, den)
+            yield from _columns(*(x[:cut] for x in got), num, den, long_column)
+        yield from _columns(*rest, num, den, long_column)
 
     dealt = entries.repartition("gram").sortWithinPartitions("gram", "n", "sig")
     return dealt.mapInArrow(product, "a long, na int, b long, nb int, shared int")
 
 
-def _columns(gram: np.ndarray, sig: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _columns(gram: np.ndarray, sig: np.ndarray, n: np.ndarray, num: int, den: int, long_column: int) -> Iterator[pa.RecordBatch]:
     """The products of whole columns, sorted by (gram, n, sig)."""
     if not len(gram):
         return
@@ -164,9 +164,9 @@ def _columns(gram: np.ndarray, sig: np.ndarray, n: np.ndarray, num: int, den: in
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     size = np.diff(np.append(starts, len(gram)))
     first, second = [], []
-    for step in range(1, LONG):
+    for step in range(1, long_column):
         # entries of short columns, each with the entry so many places on
-        for_all = np.repeat((size > step) & (size <= LONG), size)
+        for_all = np.repeat((size > step) & (size <= long_column), size)
         place = np.arange(len(gram)) - np.repeat(starts, size)
         at = np.flatnonzero(for_all & (place + step < np.repeat(size, size)))
         if not len(at):
@@ -186,7 +186,7 @@ def _columns(gram: np.ndarray, sig: np.ndarray, n: np.ndarray, num: int, den: in
             for k in range(0, len(low), 100_000):
                 s = slice(k, k + 100_000)
                 yield _pair_batch(sig[low[s]], n[low[s]], sig[high[s]], n[high[s]], times[s])
-    long = np.repeat(size > LONG, size)
+    long = np.repeat(size > long_column, size)
     if long.any():
         hub = np.repeat(sig[starts], size)[long]
         rows = np.unique(np.stack([sig[long], n[long].astype(np.int64), hub]), axis=1)
@@ -275,13 +275,15 @@ def _unit_links(width: int, num: int, den: int):
     return verify
 
 
-def _group_units(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(unit, role, sig): block pairs of the groups of (grp, sig, n), blocks cut in the order of n.
+def _group_units(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(unit, role, sig): block pairs of the groups of (grp, sig, n); a block holds sets of like size.
 
-    A pair of blocks whose sizes cannot reach the threshold is left out.
+    A pair of blocks whose sizes cannot reach the threshold is left out. Blocks are cut by ranks within a group
+    and a tenth of size, which no single task has to number.
     """
-    nth = Window.partitionBy("grp").orderBy("n", "sig")
-    blocks = members.withColumn("block", F.floor((F.row_number().over(nth) - 1) / BLOCK))
+    sized = members.withColumn("tenth", F.floor(F.log("n") / F.log(F.lit(1.1))).cast("long"))
+    blocks = ranked(sized, ["grp", "tenth"], ["sig"], "nth").withColumn("block", F.col("tenth") * (1 << 40) + F.floor(F.col("nth") / block)).select("grp", "sig", "n", "block")
+    blocks = written(blocks, "blocks")
     ends = blocks.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     i, j = ends.select("grp", *[F.col(c).alias(f"i_{c}") for c in ("block", "high")]), ends.select(F.col("grp").alias("g"), *[F.col(c).alias(f"j_{c}") for c in ("block", "low")])
     fits = (F.col("grp") == F.col("g")) & (F.col("i_block") <= F.col("j_block")) & (F.col("i_high") * den >= F.col("j_low") * num)
@@ -290,14 +292,15 @@ def _group_units(members: DataFrame, num: int, den: int) -> DataFrame:
     return roles.join(blocks.select(F.col("grp").alias("g"), "block", "sig"), (F.col("grp") == F.col("g")) & (F.col("blk") == F.col("block"))).select("unit", "role", "sig")
 
 
-def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, long_column: int = LONG, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of docs (doc_id, text, ...).
 
     Rows link when den * |A & B| >= num * |A | B| for their sets of width-word n-grams of the text with A-Z lowered.
     A text of fewer words has its whole sequence as its one n-gram. Null texts and texts without words have
     empty sets, link with nothing and are their own component. component_id is the smallest doc_id reachable;
     null doc_ids take part, and have a null component only where no row reached has an id. n_links counts the
-    rows linked directly, equal rows included. Other columns are ignored; an empty table gives an empty one.
+    rows linked directly, equal rows included. long_column and block are how work is cut, the result does not
+    depend on them. Other columns are ignored; an empty table gives an empty one.
     """
     profiles = _profiles(docs, width)
     rows = profiles.where("chunk IS NULL").select("doc_id", "text_key", "n", "sig")
@@ -309,7 +312,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
         .select("sig", "docs", "n", "first_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")),
         "classes",
     )
-    products = written(_column_products(_entries(docs, width, num, den, frequency), num, den), "products")
+    products = written(_column_products(_entries(docs, width, num, den, frequency), num, den, long_column), "products")
     long = products.where("shared IS NULL")
     members = None
     if not long.isEmpty():
@@ -326,7 +329,7 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     star = F.xxhash64("a", F.lit("star"))
     units = pairs.select(star.alias("unit"), F.lit(1).alias("role"), F.col("b").alias("sig")).union(pairs.select(star, F.lit(0), "a").distinct())
     if members is not None:
-        units = units.union(_group_units(members, num, den))
+        units = units.union(_group_units(members, num, den, block))
     needed = units.join(classes.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).select("unit", "role", "sig", "docs", "rep_id", "rep_key")
     texts = docs.select(as_long("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     with_text = texts.join(needed, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("unit", "role", "sig", "docs", "text")

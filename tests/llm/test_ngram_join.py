@@ -22,10 +22,8 @@ def test_empty(docs):
     assert N.ngram_join(docs([])).collect() == []
 
 
-def test_random_near_copies_with_long_columns(docs, monkeypatch):
+def test_random_near_copies_with_long_columns(docs):
     """Small limits send most columns through the blocked products of groups."""
-    monkeypatch.setattr(N, "LONG", 4)
-    monkeypatch.setattr(N, "BLOCK", 8)
     rnd, rows = random.Random(1), []
     for g in range(4):
         base = [f"g{g}w{rnd.randrange(500)}" for _ in range(60 + 20 * g)]
@@ -36,5 +34,5 @@ def test_random_near_copies_with_long_columns(docs, monkeypatch):
             rows.append((len(rows), " ".join(copy[: len(copy) - rnd.randrange(8)])))
     rows += [(len(rows) + k, " ".join(f"u{rnd.randrange(10**6)}" for _ in range(30))) for k in range(30)]
     df = docs(rows)
-    assert as_rows(N.ngram_join(df, 4, 85, 100)) == expected(df, 4, 85, 100)
-    assert as_rows(N.ngram_join(df, 5, 80, 100)) == expected(df, 5, 80, 100)
+    assert as_rows(N.ngram_join(df, 4, 85, 100, long_column=3, block=8)) == expected(df, 4, 85, 100)
+    assert as_rows(N.ngram_join(df, 5, 80, 100, long_column=6, block=16)) == expected(df, 5, 80, 100)
