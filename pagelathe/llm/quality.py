@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import as_long, table, written
@@ -183,6 +183,41 @@ def _scored(views: DataFrame, model: Model) -> DataFrame:
     return views.mapInArrow(work, "doc_id long, tie long, text_view binary, slots array<int>, a double, b double, both double")
 
 
+_LEVEL, _MOST_LEVEL = 8, 240
+
+
+def _level(column: str, sign: int) -> Column:
+    return F.least(F.lit(_MOST_LEVEL), F.floor(F.col(column) * (sign * _LEVEL))).cast("int")
+
+
+def _levels(scored: DataFrame) -> dict[tuple[str, int], dict[int, int]]:
+    """How many of all documents each view is sure of, by (view, class) and level of log-odds: under 1000 numbers."""
+    bar = float(np.log(LEAST_CONFIDENCE / (1 - LEAST_CONFIDENCE)))
+    kinds = [(c, s) for c in "ab" for s in (1, -1)]
+    marks = F.array(*[F.when(F.col(c) * s >= bar, F.struct(F.lit(c).alias("view"), F.lit(s).alias("sign"), _level(c, s).alias("level"))) for c, s in kinds])
+    out: dict[tuple[str, int], dict[int, int]] = {k: {} for k in kinds}
+    for r in scored.select(F.explode(F.array_compact(marks)).alias("m")).groupBy("m.view", "m.sign", "m.level").count().collect():
+        out[r["view"], r["sign"]][r["level"]] = r["count"]
+    return out
+
+
+def _surest(scored: DataFrame, levels: dict, column: str, sign: int, salt: int) -> list:
+    """The PSEUDO documents that a view is surest of. What is sorted is no more than their levels hold; of a crowded
+    last level, a share of at least 20 * PSEUDO rows drawn by hash."""
+    counts, total, last = levels[column, sign], 0, None
+    for level in sorted(counts, reverse=True):
+        total, last = total + counts[level], level
+        if total >= PSEUDO:
+            break
+    if last is None:
+        return []
+    share = min(1.0, 20 * PSEUDO / counts[last])
+    bar = float(np.log(LEAST_CONFIDENCE / (1 - LEAST_CONFIDENCE)))
+    drawn = F.pmod(F.xxhash64("doc_id", "tie", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
+    some = scored.where((F.col(column) * sign >= bar) & ((_level(column, sign) > last) | ((_level(column, sign) == last) & drawn)))
+    return some.orderBy((F.col(column) * sign).desc(), F.xxhash64("doc_id", F.lit(salt)), "doc_id", "tie").limit(PSEUDO).select("text_view", "slots").collect()
+
+
 def co_train(views: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on labels (doc_id, quality 0 or 1); None if either class has fewer than 4 labelled documents.
 
@@ -192,7 +227,10 @@ def co_train(views: DataFrame, labels: DataFrame) -> Model | None:
     """
     given = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(as_long("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
     joined = views.join(given, F.col("doc_id") == F.col("id")).drop("id")
-    rows = joined.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "tie").limit(LABELLED).collect()
+    # a hash keeps about 1.2 * LABELLED rows, so that no more is sorted or sent; the limit then is exact
+    share = min(1.0, 1.2 * LABELLED / max(1, joined.count()))
+    picked = joined.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = picked.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "tie").limit(LABELLED).collect()
     rows = list({r["doc_id"]: r for r in rows}.values())
     y = np.array([r["quality"] for r in rows], np.float64)
     if y.sum() < 4 or (1 - y).sum() < 4:
@@ -215,12 +253,11 @@ def co_train(views: DataFrame, labels: DataFrame) -> Model | None:
         if k == ROUNDS:
             break
         scored = _scored(views, model)
-        bar = float(np.log(LEAST_CONFIDENCE / (1 - LEAST_CONFIDENCE)))
+        levels = _levels(scored)
         for teacher, pupil, column in (("text", "meta", "a"), ("meta", "text", "b")):
             picked = []
-            for up, label in ((F.desc, 1.0), (F.asc, 0.0)):
-                sure = scored.where(F.col(column) >= bar if label else F.col(column) <= -bar)
-                picked += [(r, label) for r in sure.orderBy(up(column), F.xxhash64("doc_id", F.lit(k)), "doc_id", "tie").limit(PSEUDO).select("text_view", "slots").collect()]
+            for sign, label in ((1, 1.0), (-1, 0.0)):
+                picked += [(r, label) for r in _surest(scored, levels, column, sign, k)]
             if picked:
                 t, m = _views([r for r, _ in picked])
                 labels_now = np.array([v for _, v in picked])
