@@ -6,6 +6,7 @@ import ast
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,18 +133,21 @@ _DEGENERATE_LEAST, _MOST_PERIOD, _LEAST_REPEATS, _LEAST_COVER = 12, 40, 5, 0.6
 
 
 def is_degenerate(text: str | None) -> bool:
-    """Whether some short period, repeated, covers most of a text: what a model does when it is stuck."""
+    """Whether some short period, repeated, covers most of a text: what a model does when it is stuck.
+
+    For each period, the longest stretch in which every character equals the one a period before is taken.
+    """
     text = text or ""
     n = len(text)
     if n < _DEGENERATE_LEAST:
         return False
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     for period in range(1, max(1, min(_MOST_PERIOD, n // 4)) + 1):
-        run = 0
-        for k in range(period, n):
-            run = run + 1 if text[k] == text[k - period] else 0
-            whole = run + period
-            if run and whole // period >= _LEAST_REPEATS and whole // period * period >= n * _LEAST_COVER:
-                return True
+        breaks = np.flatnonzero(chars[period:] != chars[:-period])
+        run = int(np.diff(breaks, prepend=-1, append=n - period).max()) - 1
+        repeats = (run + period) // period
+        if run and repeats >= _LEAST_REPEATS and repeats * period >= n * _LEAST_COVER:
+            return True
     return False
 
 

@@ -301,7 +301,7 @@ CHAT_CONTENTS_SQL = "SELECT conv_id, turn, text AS content, turn % 2 = 0 AS trun
 
 
 def degenerate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", J.degenerate(F.substring("text", 1, 2000)).alias("degenerate"))
+    return read(spark, sf_dir, "documents").select("doc_id", J.degenerate(F.col("text")).alias("degenerate"))
 
 
 def blocks_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
