@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.llm import mixing, ngram_join, packing, quality
-from pagelathe.llm.common import table, written
+from pagelathe.llm.common import as_long, table, written
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,16 +20,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the join on five words and a similarity of 0.8: that with the smallest doc_id.
+    """One row of each component of the join on five words and a similarity of 0.8: that with the smallest doc_id.
 
     Documents without words are in no component with others, and stay. Rows with a null doc_id stay only where their
-    component has no document with an id; of rows that share an id and a text one stays.
+    component has no document with an id; there, and of rows that share an id and a text, one stays. Rows that share an
+    id only are documents of their own.
     """
-    found = ngram_join.ngram_join(docs, width=5, num=80, den=100)
-    # all null and id rows of a component but the smallest id go; rows of equal id and text are one document
-    goes = found.where("n_shingles > 0 AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    stays = docs.join(written(goes, "near-duplicates"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return stays.select(DOCUMENTS)
+    found = ngram_join.linked_rows(docs, width=5, num=80, den=100)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+    # rows of equal id and text share a class, so whether they go is one decision; only kept ones may be there twice
+    marks = (
+        found.where(F.col("n_shingles") > 0)
+        .select("doc_id", "text_key", "n_equal", kept.alias("kept"))
+        .where("NOT kept OR n_equal > 1")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
+        .count()
+        .where("NOT kept OR count > 1")
+    )
+    marks = written(marks, "near-duplicates")
+    same = as_long("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    stays = docs.join(marks, same, "left_anti").select(DOCUMENTS)
+    repeated = marks.where("kept")
+    if repeated.isEmpty():
+        return stays
+    one = docs.join(repeated, same).groupBy("_id", "_key").agg(F.min(F.struct(DOCUMENTS)).alias("row"))
+    return stays.union(one.select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -302,6 +302,15 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, l
     rows linked directly, equal rows included. long_column and block are how work is cut, the result does not
     depend on them. Other columns are ignored; an empty table gives an empty one.
     """
+    return linked_rows(docs, width, num, den, long_column, block).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, long_column: int = LONG, block: int = BLOCK) -> DataFrame:
+    """The rows of ngram_join with their text_key, the rows of their class, and keep_id and keep_key of their component.
+
+    text_key is xxhash64(text). Of a component's (doc_id, text_key), (keep_id, keep_key) is the smallest, null ids last;
+    component_id does not tell components apart where ids are null or repeated. Rows with empty sets have nulls there.
+    """
     profiles = _profiles(docs, width)
     rows = profiles.where("chunk IS NULL").select("doc_id", "text_key", "n", "sig")
     frequency = _frequency(profiles)
@@ -337,18 +346,25 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, l
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     labelled = (
-        classes.select("sig", "docs", "first_id")
+        classes.select("sig", "docs", "first_id", "rep_id", "rep_key")
         .join(labels, F.col("sig") == F.col("node"), "left")
         .join(links, F.col("sig") == F.col("a"), "left")
-        .select("sig", "docs", "first_id", F.coalesce("component", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("sig", "docs", "first_id", "rep_id", "rep_key", F.coalesce("component", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+    keep = F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_key"))
+    smallest = labelled.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("least"), keep.alias("keep"))
+    known = labelled.join(smallest, F.col("label") == F.col("l")).select(
+        F.col("sig").alias("s"), "least", "docs", "keep.rep_id", "keep.rep_key", (F.col("links") + F.col("docs") - 1).alias("links")
     )
-    smallest = labelled.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("least"))
-    known = labelled.join(smallest, F.col("label") == F.col("l")).select(F.col("sig").alias("s"), "least", (F.col("links") + F.col("docs") - 1).alias("links"))
     return rows.join(known, (F.col("sig") == F.col("s")) & (F.col("n") > 0), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"),
+        "text_key",
+        F.col("docs").alias("n_equal"),
+        F.col("rep_id").alias("keep_id"),
+        F.col("rep_key").alias("keep_key"),
     )
 
 

@@ -26,3 +26,22 @@ def test_stages_against_brute_force(spark, tmp_path):
     taken = sum(words(r["text"]) for r in mixed)
     assert abs(taken - sum(words(r["text"]) for r in single)) < 0.02 * taken
     assert sum(r["start"] == 0 for r in packed) == len(mixed)
+
+
+def single(spark, df):
+    return sorted(((r["doc_id"], r["text"]) for r in C.drop_near_duplicates(spark, df, SF).collect()), key=repr)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd_docs):
+    """One row of each component, also where ids are null or repeated; documents without words stay."""
+    ids = [1, 2, 3, 4, 6, 7, 9, 11, 13, 14, 2**62, None]
+    assert single(spark, odd_docs) == sorted(((r["doc_id"], r["text"]) for r in odd_docs.dropDuplicates(["doc_id", "text"]).collect() if r["doc_id"] in ids), key=repr)
+
+
+def test_near_duplicates_are_decided_by_row(spark, docs):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (None, b + " end"), (None, c), (2, a + " end"), (2, d), (3, d), (4, c + " x y z " + d), (None, None), (None, None), (5, "one"), (5, "one", "t"), (6, "one")]
+    want = [(1, a), (None, b), (None, c), (2, d), (4, c + " x y z " + d), (None, None), (None, None), (5, "one")]
+    got = single(spark, docs(rows))
+    assert [x for x in got if x[1] not in (b, b + " end")] == sorted([x for x in want if x[1] != b], key=repr)
+    assert sum(x[1] in (b, b + " end") for x in got) == 1
