@@ -202,8 +202,8 @@ def _levels(scored: DataFrame) -> dict[tuple[str, int], dict[int, int]]:
 
 
 def _surest(scored: DataFrame, levels: dict, column: str, sign: int, salt: int) -> list:
-    """The PSEUDO documents that a view is surest of. What is sorted is no more than their levels hold; of a crowded
-    last level, a share of at least 20 * PSEUDO rows drawn by hash."""
+    """The PSEUDO documents that a view is surest of. What is sorted is no more than their levels hold; where those are
+    crowded, narrow rows are, and only the views of the rows found are fetched, one for all rows of a (doc_id, tie)."""
     counts, total, last = levels[column, sign], 0, None
     for level in sorted(counts, reverse=True):
         total, last = total + counts[level], level
@@ -211,11 +211,17 @@ def _surest(scored: DataFrame, levels: dict, column: str, sign: int, salt: int)
             break
     if last is None:
         return []
-    share = min(1.0, 20 * PSEUDO / counts[last])
     bar = float(np.log(LEAST_CONFIDENCE / (1 - LEAST_CONFIDENCE)))
-    drawn = F.pmod(F.xxhash64("doc_id", "tie", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
-    some = scored.where((F.col(column) * sign >= bar) & ((_level(column, sign) > last) | ((_level(column, sign) == last) & drawn)))
-    return some.orderBy((F.col(column) * sign).desc(), F.xxhash64("doc_id", F.lit(salt)), "doc_id", "tie").limit(PSEUDO).select("text_view", "slots").collect()
+    some = scored.where((F.col(column) * sign >= bar) & (_level(column, sign) >= last))
+    first = some.orderBy((F.col(column) * sign).desc(), F.xxhash64("doc_id", F.lit(salt)), "doc_id", "tie").limit(PSEUDO)
+    if total <= 20 * PSEUDO:
+        return first.select("text_view", "slots").collect()
+    order = [(r["doc_id"], r["tie"]) for r in first.select("doc_id", "tie").collect()]
+    keys = scored.sparkSession.createDataFrame(list(dict.fromkeys(order)), "_id long, _tie long")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie"))
+    views = scored.join(F.broadcast(keys), same).groupBy("_id", "_tie").agg(F.first(F.struct("text_view", "slots")).alias("v")).collect()
+    found = {(r["_id"], r["_tie"]): r["v"] for r in views}
+    return [found[k] for k in order]
 
 
 def co_train(views: DataFrame, labels: DataFrame) -> Model | None:

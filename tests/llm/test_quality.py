@@ -57,3 +57,13 @@ def test_surest_are_the_surest(spark, monkeypatch, k):
     got = quality._surest(df.withColumn("slots", df["slots"]), levels, "a", 1, 0)
     assert len(got) == min(k, 5)
     assert len(quality._surest(df, levels, "b", 1, 0)) == 1
+
+
+def test_surest_of_a_crowded_level(spark, monkeypatch):
+    """All rows lie in one level; those found are the surest all the same, equal rows as often as they stand."""
+    monkeypatch.setattr(quality, "PSEUDO", 5)
+    rows = [(None if i == 7 else i, i, bytearray(str(i).encode()), [i], 40 + (i * 37 % 400) / 1000, -9.0) for i in range(400)]
+    df = spark.createDataFrame([*rows, max(rows, key=lambda r: r[4])], "doc_id long, tie long, text_view binary, slots array<int>, a double, b double")
+    got = [bytes(r["text_view"]) for r in quality._surest(df, quality._levels(df), "a", 1, 0)]
+    want = sorted(df.collect(), key=lambda r: -r["a"])[:5]
+    assert got == [bytes(r["text_view"]) for r in want] and got[0] == got[1]
