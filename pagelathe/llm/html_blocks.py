@@ -16,7 +16,8 @@ PATH_SLOTS, WORD_SLOTS, NUMBERS = 512, 256, 6
 _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|object|canvas)\b{_QUOTED}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<svg(?=[\s/>]){_QUOTED}(?<=/)>"
+    rf"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|object|canvas)(?=[\s/>]){_QUOTED}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_QUOTED})>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
     r"|<[!?][^>]*>",

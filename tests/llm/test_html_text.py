@@ -54,3 +54,10 @@ def test_label_does_not_depend_on_batches():
     together = block_lstm.label(w, pages)
     for p, found in zip(pages, together, strict=True):
         assert abs(block_lstm.label(w, [p])[0] - found).max(initial=0) < 1e-4
+
+
+def test_raw_elements_end():
+    """A self-closed svg and custom elements that begin with a raw name swallow nothing after them."""
+    for icon in ('<svg class="i"/>', "<svg/>", "<svg-icon></svg-icon>", "<template-card></template-card>", "<object-view/>", "<SVG\n viewBox='0 0 1 1' />"):
+        assert [b.text for b in blocks_of(f"<p>a</p>{icon}<p>article text</p>")] == ["a", "article text"], icon
+    assert [b.text for b in blocks_of("<p>a</p><svg class='i'><path/><text>t</text></svg><script src='x'/>b</script><p>c</p>")] == ["a", "c"]
