@@ -15,7 +15,7 @@ from pagelathe.llm.common import as_long, table
 UNKNOWN = "unknown"
 
 #: A text, and a sentence, is looked at only if its lower case holds one of these.
-ANCHORS = ["licen", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain", "liable", "all rights reserved", "creative commons", "software is provided"]
+ANCHORS = ["licen", "copyright", "permission", "redistribut", "warrant", "spdx", "public domain", "liable", "all rights reserved", "creative commons", "software is provided", "free software", "cc by", "cc0", "copy of the mpl"]
 
 #: (identifier, pattern of the whole normalised sentence), the first that matches counts. The wording is that of
 #: the published licences and of the notices that they recommend.
@@ -56,7 +56,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("cc-by-nd-4", r".*(licensed|released|available) under (a |the )?(cc by-nd 4\.0|creative commons attribution-noderivatives 4\.0.*)"),
     ("cc-by-sa-4", r".*(licensed|released|available) under (a |the )?(cc by-sa 4\.0|creative commons attribution-sharealike 4\.0.*)"),
     ("cc-by-4", r".*(licensed|released|available) under (a |the )?(cc by 4\.0|creative commons attribution 4\.0.*)"),
-    ("cc0", r".*(cc0 1\.0|cc0|dedicated .*to the public domain|creative commons zero).*"),
+    ("cc0", r"(.*[^a-z0-9])?cc0([^a-z0-9].*)?|.*(dedicated .*to the public domain|creative commons zero).*"),
     ("mpl-2", r".*subject to the terms of the mozilla public license v(ersion)?\.? ?2\.0.*"),
     ("mpl-2-copy", r"if a copy of the mpl was not distributed with this file you can obtain one at.*"),
     ("public-domain", r".*(is|are) (hereby )?(released|placed|put) (in|into) the public domain.*"),

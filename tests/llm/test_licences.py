@@ -70,3 +70,22 @@ def test_odd_rows(odd_docs, docs):
 
 def test_main_path_has_no_python(odd_docs):
     assert "Python" not in licences.licence_scan(odd_docs)._jdf.queryExecution().executedPlan().toString()
+
+
+ANCHORLESS = [
+    ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("Available under CC BY 4.0.", "CC-BY-4.0"),
+    ("Available under the CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("CC0 1.0", "CC0-1.0"),
+    ("This work is CC0.", "CC0-1.0"),
+    ("An example of simple code.", ""),
+]
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+If a copy of the MPL was not distributed with this file, you can obtain one at
+http://mozilla.org/MPL/2.0/."""
+
+
+def test_known_sentences_pass_the_filter(docs):
+    got = {r["doc_id"]: r for r in licences.licence_scan(docs([(k, t) for k, (t, _) in enumerate([*ANCHORLESS, (MPL, "")])])).collect()}
+    assert [got[k]["licences"] for k in range(len(ANCHORLESS))] == [v for _, v in ANCHORLESS]
+    assert "mpl-2-copy" in got[len(ANCHORLESS)]["sentence_ids"]
