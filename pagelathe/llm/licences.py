@@ -43,13 +43,19 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd-liable", r"in no event shall .* be liable for any direct indirect incidental special exemplary or consequential damages.*"),
     ("gpl-3-notice", r"(this (work|file|software|project|program) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license version 3(\.0)?( only)?"),
     ("gpl-2-notice", r"(this (work|file|software|project|program) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license version 2(\.0)?( only)?"),
-    ("gpl-free", r".*is free software( |$)(you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version ([0-9.]+) of the license or( at your option)? any later version)?"),
-    ("gpl-terms-3", r"you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or.*"),
-    ("gpl-terms-2", r"you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or.*"),
-    ("lgpl-notice", r".*(licensed|released|distributed|redistribute it and/or modify it) under the (terms of the )?gnu lesser general public license.*"),
+    ("gpl-free", r".*is free software"),
+    ("gpl-terms-3", r"(.*is free software )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or.*"),
+    ("gpl-terms-2", r"(.*is free software )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or.*"),
+    ("gpl-redistribute", r"(.*is free software )?you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-later-3", r"either version 3 of the license or.*"),
+    ("gpl-later-2", r"either version 2 of the license or.*"),
+    ("gpl-later", r"either version [0-9.]+ of the license or.*"),
+    ("gpl-published", r"license as published by the free software foundation.*"),
+    ("lgpl-notice", r".*(licensed|released|distributed|redistribute it and/or modify it) under the (terms of the )?gnu lesser general public( license.*)?"),
     ("agpl-notice", r".*(licensed|released|distributed|redistribute it and/or modify it) under the (terms of the )?gnu affero general public license.*"),
     ("gpl-hope", r".*is distributed in the hope that it will be useful but without any warranty.*"),
-    ("gpl-copy", r"(you should have received|see the) .*gnu (lesser |affero )?general public license.*"),
+    ("gpl-merchant", r"without even the implied warranty of.*"),
+    ("gpl-copy", r"(you should have received|see the) .*gnu (lesser |affero )?general public license.*|(gnu )?(lesser |affero )?general public license for more details|license along with this .*|if not (see|write to) .*"),
     ("cc-by-nc-nd-4", r".*(licensed|released|available) under (a |the )?(cc by-nc-nd 4\.0|creative commons attribution-noncommercial-noderivatives 4\.0.*)"),
     ("cc-by-nc-sa-4", r".*(licensed|released|available) under (a |the )?(cc by-nc-sa 4\.0|creative commons attribution-noncommercial-sharealike 4\.0.*)"),
     ("cc-by-nc-4", r".*(licensed|released|available) under (a |the )?(cc by-nc 4\.0|creative commons attribution-noncommercial 4\.0.*)"),
@@ -75,12 +81,12 @@ RULES: list[tuple[str, str]] = [
     ("BSD-2-Clause", r";bsd-conditions;bsd-source;bsd-binary(;bsd-asis)?(;bsd-liable)?(?=;)"),
     ("BSD-3-Clause", r";bsd-release(?=;)"),
     ("BSD-2-Clause", r";bsd2-release(?=;)"),
-    ("GPL-3.0-or-later", r"(;gpl-free)?;gpl-terms-3(;gpl-hope)?(;gpl-copy)*(?=;)"),
-    ("GPL-2.0-or-later", r"(;gpl-free)?;gpl-terms-2(;gpl-hope)?(;gpl-copy)*(?=;)"),
-    ("GPL-3.0-only", r";gpl-3-notice(;gpl-hope)?(;gpl-copy)*(?=;)"),
-    ("GPL-2.0-only", r";gpl-2-notice(;gpl-hope)?(;gpl-copy)*(?=;)"),
-    ("LGPL", r"(;gpl-free)?;lgpl-notice(;gpl-hope)?(;gpl-copy)*(?=;)"),
-    ("AGPL", r"(;gpl-free)?;agpl-notice(;gpl-hope)?(;gpl-copy)*(?=;)"),
+    ("GPL-3.0-or-later", r"(;gpl-free)?(;gpl-terms-3|;gpl-redistribute;gpl-later-3)(;gpl-hope)?(;gpl-merchant)?(;gpl-copy)*(?=;)"),
+    ("GPL-2.0-or-later", r"(;gpl-free)?(;gpl-terms-2|;gpl-redistribute;gpl-later-2)(;gpl-hope)?(;gpl-merchant)?(;gpl-copy)*(?=;)"),
+    ("GPL-3.0-only", r";gpl-3-notice(;gpl-hope)?(;gpl-merchant)?(;gpl-copy)*(?=;)"),
+    ("GPL-2.0-only", r";gpl-2-notice(;gpl-hope)?(;gpl-merchant)?(;gpl-copy)*(?=;)"),
+    ("LGPL", r"(;gpl-free)?;lgpl-notice(;gpl-published)?(;gpl-later[0-9.-]*)?(;gpl-hope)?(;gpl-merchant)?(;gpl-copy)*(?=;)"),
+    ("AGPL", r"(;gpl-free)?;agpl-notice(;gpl-published)?(;gpl-later[0-9.-]*)?(;gpl-hope)?(;gpl-merchant)?(;gpl-copy)*(?=;)"),
     ("CC-BY-NC-ND-4.0", r";cc-by-nc-nd-4(?=;)"),
     ("CC-BY-NC-SA-4.0", r";cc-by-nc-sa-4(?=;)"),
     ("CC-BY-NC-4.0", r";cc-by-nc-4(?=;)"),

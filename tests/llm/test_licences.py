@@ -89,3 +89,38 @@ def test_known_sentences_pass_the_filter(docs):
     got = {r["doc_id"]: r for r in licences.licence_scan(docs([(k, t) for k, (t, _) in enumerate([*ANCHORLESS, (MPL, "")])])).collect()}
     assert [got[k]["licences"] for k in range(len(ANCHORLESS))] == [v for _, v in ANCHORLESS]
     assert "mpl-2-copy" in got[len(ANCHORLESS)]["sentence_ids"]
+
+
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2").replace("program.  If not, see <https://www.gnu.org/licenses/>.", "program; if not, write to the Free Software Foundation, Inc.,\n    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA
+"""
+
+
+def test_published_gnu_notices(docs):
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(docs([(1, GPL3), (2, GPL2), (3, LGPL), (4, GPL3.replace("GNU General", "GNU Affero General"))])).collect()}
+    assert got == {1: "GPL-3.0-or-later", 2: "GPL-2.0-or-later", 3: "LGPL", 4: "AGPL"}
