@@ -2,7 +2,9 @@
 
 Byte-pair merges never cross the pieces that a tokenizer's pre-tokenizer cuts. A text may therefore be cut
 wherever the pre-tokenizer always cuts, each distinct piece be encoded once by the library, and the ids be
-joined; the result is that of encoding the whole text (tests/llm/test_tokens.py compares them).
+joined; the result is that of encoding the whole text (tests/llm/test_tokens.py compares them). New pieces are
+encoded many in a row where their ids tell where each piece ends, which spares the library a call a piece. Special
+tokens that stand in a text are encoded as the library does by default.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -22,25 +26,39 @@ MOST_CHARS = 30_000_000
 
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than a single blank or line feed, in Python's wide sense.
-_RARE_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+_RARE_SPACE = "[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A text without this has each of its blanks between two characters that are not white space.
+_ODD_BLANKS = f"  | \n|\n |^ | $|{_RARE_SPACE}"
+_SEVERAL = 1024
 
 
-def _before_blank(text: str) -> list:
-    """Cut before each blank that stands between two other characters. The first piece is a tuple."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE_SPACE.search(text):
-        pieces = _SPACE_BETWEEN.split(text)
-    else:
-        pieces = text.split(" ")
-    pieces[0] = (pieces[0],)
-    return pieces
+def _before_blank(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of all texts, cut before each blank that stands between two other characters, and how many each text has."""
+    odd = pc.match_substring_regex(texts, _ODD_BLANKS).to_numpy(zero_copy_only=False)
+    if not odd.any():
+        return _split(texts)
+    plain, n_plain = _split(texts.filter(pa.array(~odd)))
+    rest = [_SPACE_BETWEEN.split(x) for x in texts.filter(pa.array(odd)).to_pylist()]
+    n = np.zeros(len(texts), np.int64)
+    n[~odd], n[odd] = n_plain, [len(x) for x in rest]
+    from_odd = np.repeat(odd, n)
+    order = np.zeros(len(from_odd), np.int64)
+    order[~from_odd] = np.arange(len(plain))
+    order[from_odd] = len(plain) + np.arange(from_odd.sum())
+    return pa.concat_arrays([plain, pa.array(list(chain.from_iterable(rest)), pa.large_string())]).take(pa.array(order)), n
 
 
-def _at_blanks(text: str) -> list:
-    return [x for x in text.replace("\n", " ").split(" ") if x]
+def _at_blanks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    return _split(pc.replace_substring(texts, "\n", " "))
 
 
-def _whole(text: str) -> list:
-    return [(text,)]
+def _whole(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    return texts, np.ones(len(texts), np.int64)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    lists = pc.split_pattern(texts, " ")
+    return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
 
 class _Memo(dict):
@@ -55,6 +73,43 @@ class _Memo(dict):
         return k
 
 
+class _BlankFirst:
+    """Byte-level pieces, each after its blank: in a row of them, an id that begins with a blank begins a piece."""
+
+    fits = re.compile(r"[^\s<]+(?:\n[^\s<]+)*").fullmatch
+
+    @staticmethod
+    def flags(token: str) -> bool:
+        return token.startswith("\u0120")
+
+    @staticmethod
+    def joined(pieces: list[str]) -> str:
+        return " " + " ".join(pieces)
+
+    @staticmethod
+    def ends(pieces: list[str], flagged: np.ndarray, total: int) -> np.ndarray | None:
+        return np.append(flagged[1:], total) if len(flagged) == len(pieces) and not flagged[0] else None
+
+
+class _WordEnds:
+    """Latin words with or without marks after them: in a row of them, each word and each run of marks ends with its id."""
+
+    fits = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?)]*").fullmatch
+
+    @staticmethod
+    def flags(token: str) -> bool:
+        return token.endswith("</w>")
+
+    @staticmethod
+    def joined(pieces: list[str]) -> str:
+        return " ".join(pieces)
+
+    @staticmethod
+    def ends(pieces: list[str], flagged: np.ndarray, total: int) -> np.ndarray | None:
+        parts = np.cumsum([1 if p[-1].isalpha() else 2 for p in pieces])
+        return flagged[parts - 1] + 1 if len(flagged) == parts[-1] else None
+
+
 class TokenMemo:
     """Encodes batches of texts to one flat array of ids and the number of ids of each text."""
 
@@ -62,25 +117,32 @@ class TokenMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.cut, self.lead = self._safe_cut(spec)
+        self.cut, self.lead, self.rows = self._safe_cut(spec)
+        if self.rows:
+            self.flagged = np.zeros(self.vocabulary, np.bool_)
+            self.flagged[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if self.rows.flags(token)]] = True
         self._reset()
 
     @staticmethod
     def _safe_cut(spec: dict):
-        """The finest cut known to be safe, and what its later pieces begin with."""
+        """The finest cut known to be safe, what its later pieces begin with, and how rows of pieces are encoded at once.
+
+        Special tokens hold no white space, so a cut never parts one.
+        """
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
+            return _whole, "", None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
-            return _before_blank, " "
+            return _before_blank, " ", _BlankFirst
         parts = pre.get("pretokenizers") or []
         drops_space = parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "")
         kinds = {x.get("type") for x in (norm or {}).get("normalizers", [])}
         if drops_space and kinds <= {"NFC", "Replace", "Lowercase"}:
-            return _at_blanks, ""
-        return _whole, ""
+            return _at_blanks, "", _WordEnds if spec["model"].get("end_of_word_suffix") == "</w>" else None
+        return _whole, "", None
 
     def _reset(self) -> None:
         self.memo, self.chars, self.used = _Memo(), 0, 0
@@ -95,41 +157,74 @@ class TokenMemo:
         out[: len(array)] = array
         return out
 
+    def _keep(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Store the ids of the pieces numbered at, one after the other."""
+        self.pool = self._grown(self.pool, self.used + len(ids))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[at], self.counts[at] = self.used + np.cumsum(counts) - counts, counts
+        self.used += len(ids)
+
+    def _learn_row(self, pieces: list[str], at: np.ndarray) -> bool:
+        """Encode pieces in a row; False if the ids do not tell the pieces apart."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.rows.joined(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = self.rows.ends(pieces, np.flatnonzero(self.flagged[ids]), len(ids))
+        if ends is not None:
+            self._keep(at, ids, np.diff(ends, prepend=0))
+        return ends is not None
+
     def _learn(self) -> None:
         fresh, known = self.memo.fresh, len(self.memo) - len(self.memo.fresh)
         self.starts, self.counts = (self._grown(x, known + len(fresh)) for x in (self.starts, self.counts))
-        for at in range(0, len(fresh), 4096):
-            texts = [p[0] if isinstance(p, tuple) else self.lead + p for p in fresh[at : at + 4096]]
-            self.chars += sum(map(len, texts))
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(n.sum())
-            self.pool = self._grown(self.pool, self.used + total)
-            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            own = slice(known + at, known + at + len(found))
-            self.starts[own], self.counts[own] = self.used + np.cumsum(n) - n, n
-            self.used += total
+        for a in range(0, len(fresh), _SEVERAL):
+            some = fresh[a : a + _SEVERAL]
+            in_row = [k for k, p in enumerate(some) if self.rows and type(p) is str and self.rows.fits(p)]
+            row = [some[k] for k in in_row]
+            self.chars += sum(len(p[0]) if type(p) is tuple else len(p) for p in some)
+            if row and self._learn_row(row, np.array(in_row) + known + a):
+                done = set(in_row)
+                alone = [k for k in range(len(some)) if k not in done]
+            else:
+                alone = list(range(len(some)))
+            if alone:
+                texts = [p[0] if type(p) is tuple else self.lead + p for p in (some[k] for k in alone)]
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                self._keep(np.array(alone) + known + a, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts)
         fresh.clear()
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cutting and telling equal pieces apart is done by Arrow; only pieces distinct in this call become strings."""
         if len(self.memo) > MOST_PIECES or self.chars > MOST_CHARS:
             self._reset()
-        get, cut = self.memo.__getitem__, self.cut
-        numbers = []
-        for text in texts:
-            pieces = cut(text) if text else []
-            numbers.append(np.fromiter(map(get, pieces), np.int64, len(pieces)))
+        array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(array):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        pieces, n = self.cut(pc.fill_null(array.cast(pa.large_string()), ""))
+        get = self.memo.__getitem__
+        heads = np.cumsum(n) - n
+        coded = pieces.dictionary_encode()
+        local = coded.indices.to_numpy().astype(np.int64)
+        numbers = np.zeros(len(local), np.int64)
+        if self.lead:
+            # a text's first piece has no blank before it, and is a piece of its own kind
+            later = np.ones(len(local), np.bool_)
+            later[heads] = False
+            seen = np.zeros(len(coded.dictionary), np.bool_)
+            seen[local[later]] = True
+            wanted = np.flatnonzero(seen)
+            table = np.zeros(len(coded.dictionary), np.int64)
+            table[wanted] = np.fromiter(map(get, coded.dictionary.take(pa.array(wanted)).to_pylist()), np.int64, len(wanted))
+            numbers = table[local]
+            numbers[heads] = [get((x,)) for x in pieces.take(pa.array(heads)).to_pylist()]
+        else:
+            numbers = np.fromiter(map(get, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[local]
         self._learn()
-        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        n = self.counts[flat]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(self.starts[flat] - (ends - n), n)
-        where += np.arange(total)
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        where = np.repeat(self.starts[numbers] - (ends - counts), counts)
+        where += np.arange(len(where))
         upto = np.concatenate([[0], ends])
-        last = np.cumsum([len(x) for x in numbers]) if numbers else np.zeros(0, np.int64)
-        lengths = np.diff(np.concatenate([[0], upto[last]])) if len(last) else last
-        return self.pool[where], lengths.astype(np.int64)
+        return self.pool[where], np.diff(upto[np.cumsum(n)], prepend=0)
 
 
 _memos: dict[str, TokenMemo] = {}
@@ -142,7 +237,7 @@ def memo_of(path: str) -> TokenMemo:
     return _memos[path]
 
 
-def slices(texts: list[str | None], most_chars: int = 2_000_000):
+def slices(texts: list[str | None], most_chars: int = 4_000_000):
     """Ranges of texts that hold about so many characters: bounds what one encode() call holds."""
     start = held = 0
     for k, t in enumerate(texts):

@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -14,9 +15,9 @@ from tokenizers import Tokenizer
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+@cache
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,6 +34,25 @@ def test_memo_cuts_at_words():
     assert M.memo_of(BYTE).cut is M._before_blank and M.memo_of(WORD).cut is M._at_blanks
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_special_tokens_in_texts(path):
+    """They get their ids, as by the library's plain call; the pieces around them are learnt before and after."""
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b <|startoftext|> c", None, "", "hello world <|endoftext", "x  <|endoftext|>\n y"]
+    flat, lengths = M.TokenMemo(path).encode(texts)
+    assert flat.tolist() == [i for t in texts for i in plain(path)(t)]
+    assert lengths.tolist() == [len(plain(path)(t)) for t in texts]
+    assert Tokenizer.from_file(path).token_to_id("<|endoftext|>") in flat
+
+
+def test_memo_of_stored_texts(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for path in (BYTE, WORD):
+        memo, encode = M.TokenMemo(path), plain(path)
+        for a in range(0, len(texts), 37):
+            flat, lengths = memo.encode(texts[a : a + 37])
+            assert flat.tolist() == [i for t in texts[a : a + 37] for i in encode(t)]
+
+
 def test_memo_survives_emptying(monkeypatch):
     monkeypatch.setattr(M, "MOST_PIECES", 3)
     memo = M.TokenMemo(BYTE)
