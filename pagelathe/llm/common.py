@@ -21,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder, as a URI, that driver and executors all see; it goes when the driver's process ends.
 
-    It lies in spark.checkpoint.dir. Only where that is unset does OWN_SHARED_DIR serve.
+    It lies in spark.checkpoint.dir. Only where that is unset and all runs in one process does OWN_SHARED_DIR serve.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or OWN_SHARED_DIR
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = OWN_SHARED_DIR
     if "://" not in root:
         root = "file://" + root.removeprefix("file:")
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -102,12 +106,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     )
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        # a plain table, so that adaptive execution can split the rows of a crowded centre
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "star")
         large = (
             both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).distinct()
         large = written(large, "star")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "star")
         small = (
             large.join(low, F.col("u") == F.col("w"))
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -11,10 +11,13 @@ blocks of n-gram columns, and only as far as size bounds leave pairs to find:
 3. The counts of a pair are added over the blocks. A pair stays if its count, with the most that the entries not
    compared could add, reaches the overlap that its sizes ask for. No link is lost by this.
 4. Columns of more than LONG classes are not expanded. Their classes form groups, which are multiplied by
-   themselves in blocks of rows, over all columns, inside tasks.
-5. Pairs that stayed are verified on their whole sets. Links join classes into components.
+   themselves in blocks of rows, over all columns, inside tasks. A block has up to BLOCK rows, fewer of large
+   sets, and only blocks meet whose sizes allow a link.
+5. Pairs that stayed are verified on their whole sets, a class with so many partners at a time as UNIT_ENTRIES
+   allows. Links join classes into components.
 
-What crosses the network grows with the number of entries, never with the square of a group of copies.
+Equal texts cross the network once, as one class. Of a group of k classes that share long columns, each text crosses
+once for every block that it meets: k / BLOCK times at most, and never as pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import as_long, components, ranked, table, written
@@ -35,8 +38,9 @@ SKETCH_BITS = 22
 CHUNK_BITS = 16
 #: Columns with more classes than this are multiplied in blocks of rows.
 LONG = 24
-#: Rows of a block of a group of classes.
-BLOCK = 128
+#: Most rows of a block of a group of classes, and about how many entries a block or a star holds at once.
+BLOCK = 512
+UNIT_ENTRIES = 1 << 20
 _COLUMNS = 8192
 
 
@@ -279,10 +283,12 @@ def _group_units(members: DataFrame, num: int, den: int, block: int) -> DataFram
     """(unit, role, sig): block pairs of the groups of (grp, sig, n); a block holds sets of like size.
 
     A pair of blocks whose sizes cannot reach the threshold is left out. Blocks are cut by ranks within a group
-    and a tenth of size, which no single task has to number.
+    and a tenth of size, which no single task has to number; their rows are such that a block holds no more than
+    UNIT_ENTRIES entries, or one row.
     """
     sized = members.withColumn("tenth", F.floor(F.log("n") / F.log(F.lit(1.1))).cast("long"))
-    blocks = ranked(sized, ["grp", "tenth"], ["sig"], "nth").withColumn("block", F.col("tenth") * (1 << 40) + F.floor(F.col("nth") / block)).select("grp", "sig", "n", "block")
+    rows = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(UNIT_ENTRIES / F.pow(F.lit(1.1), F.col("tenth") + 1)))).cast("long")
+    blocks = ranked(sized, ["grp", "tenth"], ["sig"], "nth").withColumn("block", F.col("tenth") * (1 << 40) + F.floor(F.col("nth") / rows)).select("grp", "sig", "n", "block")
     blocks = written(blocks, "blocks")
     ends = blocks.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     i, j = ends.select("grp", *[F.col(c).alias(f"i_{c}") for c in ("block", "high")]), ends.select(F.col("grp").alias("g"), *[F.col(c).alias(f"j_{c}") for c in ("block", "low")])
@@ -333,9 +339,13 @@ def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     others = F.expr(f"({num}L * greatest(na, nb) + {den} - 1) div {den} - 1")
     pairs = products.where("shared IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("shared") + others >= asked)
     if members is not None:
+        # pairs within a group are found there
         in_a, in_b = members.select(F.col("sig").alias("sa"), F.col("grp").alias("ga")), members.select(F.col("sig").alias("sb"), F.col("grp").alias("gb"))
         pairs = pairs.join(in_a, F.col("a") == F.col("sa"), "left").join(in_b, F.col("b") == F.col("sb"), "left").where("NOT coalesce(ga = gb, false)")
-    star = F.xxhash64("a", F.lit("star"))
+    # a class meets its partners so many at a time as hold UNIT_ENTRIES entries; short columns bound how many it has
+    partners = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = written(pairs.select("a", "b", F.floor(F.coalesce(F.sum("nb").over(partners), F.lit(0)) / UNIT_ENTRIES).alias("part")), "pairs")
+    star = F.xxhash64("a", "part", F.lit("star"))
     units = pairs.select(star.alias("unit"), F.lit(1).alias("role"), F.col("b").alias("sig")).union(pairs.select(star, F.lit(0), "a").distinct())
     if members is not None:
         units = units.union(_group_units(members, num, den, block))
@@ -345,27 +355,48 @@ def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     found = written(with_text.groupBy("unit").applyInArrow(_unit_links(width, num, den), "a long, b long, links long"), "links")
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
-    labelled = (
+    # both sides of the joins on labels and classes are plain tables, whose crowded keys adaptive execution splits
+    labelled = written(
         classes.select("sig", "docs", "first_id", "rep_id", "rep_key")
         .join(labels, F.col("sig") == F.col("node"), "left")
         .join(links, F.col("sig") == F.col("a"), "left")
-        .select("sig", "docs", "first_id", "rep_id", "rep_key", F.coalesce("component", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("sig", "docs", "first_id", "rep_id", "rep_key", F.coalesce("component", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links")),
+        "labelled",
     )
     keep = F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_key"))
-    smallest = labelled.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("least"), keep.alias("keep"))
+    smallest = written(labelled.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("least"), keep.alias("keep")), "smallest")
     known = labelled.join(smallest, F.col("label") == F.col("l")).select(
-        F.col("sig").alias("s"), "least", "docs", "keep.rep_id", "keep.rep_key", (F.col("links") + F.col("docs") - 1).alias("links")
-    )
-    return rows.join(known, (F.col("sig") == F.col("s")) & (F.col("n") > 0), "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).alias("n_links"),
-        "text_key",
-        F.col("docs").alias("n_equal"),
-        F.col("rep_id").alias("keep_id"),
-        F.col("rep_key").alias("keep_key"),
+        F.col("sig").alias("s"), "least", F.col("docs").alias("n_equal"), F.col("keep.rep_id").alias("keep_id"), F.col("keep.rep_key").alias("keep_key"), (F.col("links") + F.col("docs") - 1).alias("n_links")
     )
+    full = rows.where("n > 0").join(written(known, "known"), F.col("sig") == F.col("s"))
+    out = ("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "n_links", "text_key", "n_equal", "keep_id", "keep_key")
+    none = F.lit(None).cast("long")
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "text_key", none.alias("n_equal"), none.alias("keep_id"), none.alias("keep_key"))
+    return full.select(*out).union(empty)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3])) END) AS gram FROM w
+), n AS (
+  SELECT w.doc_id, count(gram) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY 1
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), near AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, near.b FROM r JOIN near ON near.a = r.seen
+), c AS (
+  SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY 1
+), l AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM near GROUP BY 1
+)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, coalesce(l.n_links, 0) AS n_links FROM n JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_warc": warc.OP3_SQL,
     "op5_licences": licences.OP5_SQL,
 }

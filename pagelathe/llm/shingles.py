@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+#: Words whose hashes a worker keeps; beyond, it begins anew.
+MOST_KNOWN = 1_000_000
+#: From this length on, words are hashed but not kept.
+LONG_WORD = 64
+_KEY = b"words of shingles"
 _SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 _BYTE = _rng.integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = _rng.integers(1, 1 << 63, 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, np.bool_)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -36,49 +43,40 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def _segments(data: bytes):
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + _SEGMENT)
-        if end < len(data):
-            cut = data.rfind(b"\n", at, end) + 1
-            if cut <= at:
-                cut = data.find(b"\n", end) + 1 or len(data)
-            end = cut
-        yield at, end
-        at = end
+class _WordHashes(dict):
+    """Hash of each word met; a keyed cryptographic hash, so that words are told apart whatever their wording."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = int.from_bytes(blake2b(word, digest_size=8, key=_KEY).digest(), "little") if word else 0
+        return h
+
+
+_known = _WordHashes()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of all texts, words in each text). Words are runs of bytes but 0x20 and 0x09-0x0D.
 
-    A word's hash is a polynomial of random byte values, taken from running sums, so that no word becomes a
-    Python object.
+    Texts are cut and equal words told by Arrow; only words distinct among the texts become Python objects.
     """
-    hashes, begins = [], []
-    data = bytearray()
-    ends = []
-    for t in texts:
-        data += t
-        data += b"\n"
-        ends.append(len(data))
-    flat = bytes(data.replace(b" ", b"\n"))
-    for a, b in _segments(flat):
-        x = np.frombuffer(flat, np.uint8, b - a, a)
-        powers, inverse = _tables(b - a)
-        space = _SPACE[x]
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-        first, last = edges[0::2], edges[1::2]
-        value = _BYTE[x]
-        value *= powers[: b - a]
-        value[space] = 0
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-        hashes.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)))
-        begins.append(first + a)
-    if not hashes:
+    if len(_known) > MOST_KNOWN:
+        _known.clear()
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    coded = lists.flatten().view(pa.large_binary()).dictionary_encode()
+    values = coded.dictionary.to_pylist()
+    if not values:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    upto = np.searchsorted(np.concatenate(begins), np.array(ends))
-    return np.concatenate(hashes), np.diff(upto, prepend=0)
+    if max(map(len, values)) < LONG_WORD:
+        found = map(_known.__getitem__, values)
+    else:
+        found = (_known[w] if len(w) < LONG_WORD else _WordHashes()[w] for w in values)
+    each = np.fromiter(found, np.uint64, len(values))
+    index = coded.indices.to_numpy()
+    # texts that begin or end with white space have empty words there
+    empty = values.index(b"") if b"" in values else -1
+    real = index != empty
+    upto = np.concatenate([[0], np.cumsum(real)])
+    return (each[index] if empty < 0 else each[index[real]]), np.diff(upto[lists.offsets.to_numpy()])
 
 
 def lower_ascii(text: str | None) -> bytes:

@@ -1,10 +1,11 @@
 """Plain versions of the operators, for small inputs."""
 
+import re
 from collections import defaultdict
 
 
 def shingles(text, width):
-    w = (text or "").encode().lower().split()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not w:
         return frozenset()
     return frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)])

@@ -36,3 +36,37 @@ def test_random_near_copies_with_long_columns(docs):
     df = docs(rows)
     assert as_rows(N.ngram_join(df, 4, 85, 100, long_column=3, block=8)) == expected(df, 4, 85, 100)
     assert as_rows(N.ngram_join(df, 5, 80, 100, long_column=6, block=16)) == expected(df, 5, 80, 100)
+
+
+def test_small_units(docs, monkeypatch):
+    """Stars and blocks of few entries give the same links."""
+    monkeypatch.setattr(N, "UNIT_ENTRIES", 100)
+    rnd, rows = random.Random(5), []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(50)]
+        rows += [(len(rows) + k, " ".join([*base[: 50 - rnd.randrange(5)], f"x{rnd.randrange(4)}"])) for k in range(20)]
+    df = docs(rows)
+    for long_column in (3, 24):
+        assert as_rows(N.ngram_join(df, 4, 85, 100, long_column=long_column, block=8)) == expected(df, 4, 85, 100)
+
+
+def test_words_that_polynomials_confuse(docs):
+    """Thue-Morse words and their complements are told apart, whatever their length."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = docs([(1, a), (2, b), (3, f"x y {a}"), (4, f"x y {b}"), (5, a)])
+    assert as_rows(N.ngram_join(df, 4, 85, 100)) == expected(df, 4, 85, 100)
+
+
+def test_white_space_of_all_kinds(docs):
+    df = docs([(1, "a\tb\x0bc\x0cd\re f"), (2, " a b c d e f\n"), (3, "a\x1cb c d e f"), (4, "a\x85b\xa0c d e f")])
+    assert as_rows(N.ngram_join(df, 4, 85, 100)) == expected(df, 4, 85, 100)
+
+
+def test_the_registered_query(spark):
+    """The query itself, over a whole stored table, against brute force."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    assert as_rows(N.op2_ngram_join(spark, sf)) == expected(rows, 4, 85, 100)
