@@ -123,4 +123,55 @@ Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA
 
 def test_published_gnu_notices(docs):
     got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(docs([(1, GPL3), (2, GPL2), (3, LGPL), (4, GPL3.replace("GNU General", "GNU Affero General"))])).collect()}
-    assert got == {1: "GPL-3.0-or-later", 2: "GPL-2.0-or-later", 3: "LGPL", 4: "AGPL"}
+    assert got == {1: "GPL-3.0-or-later", 2: "GPL-2.0-or-later", 3: "LGPL-2.1-or-later", 4: "AGPL-3.0-or-later"}
+
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+MORE = [
+    (ZLIB, "Zlib"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software.", "Unlicense"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("All rights made available under the terms of the Eclipse Public License v2.0.", "EPL-2.0"),
+    ("Licensed under CC-BY-SA-3.0.", "CC-BY-SA-3.0"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 2.5 Generic License.", "CC-BY-SA-2.5"),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX:mit,SPDX:apache-2.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "SPDX:gpl-2.0-only with classpath-exception-2.0"),
+    ("SPDX-License-Identifier: LicenseRef-" + "x" * 2000, "SPDX:licenseref-" + "x" * 2000),
+    ("ALL  RIGHTS\n * reserved", "all-rights-reserved"),
+]
+
+
+def test_more_licences(docs):
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(docs([(k, t) for k, (t, _) in enumerate(MORE)])).collect()}
+    assert got == {k: v for k, (_, v) in enumerate(MORE)}
+
+
+def test_each_known_sentence_alone_is_found(docs):
+    """Whatever a pattern matches passes the filter on texts: the example of each is made from the pattern itself."""
+    import re
+
+    def example(p):
+        p = p.replace(".*", " zz ").replace("[0-9]{4}", "2020").replace("[0-9*-]+", "1").replace("[0-9.]+", "1").replace("[0-9]+", "1").replace("[^a-z0-9]", " ").replace("[ -]", "-")
+        while (m := re.search(r"\(([^()]*)\)(\?|\+|\*)?", p)) is not None:
+            p = p[: m.start()] + ("" if m[2] in ("?", "*") else m[1].split("|")[0]) + p[m.end() :]
+        p = p.split("|")[0]
+        return re.sub(" +", " ", re.sub(r"\\\.", ".", re.sub(r"\\?.\?", "", p))).strip()
+
+    names = [n for n, _ in licences.SENTENCES]
+    rows = [(k, example(p)) for k, (_, p) in enumerate(licences.SENTENCES)]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licences.licence_scan(docs(rows)).collect()}
+    known = {names[k]: v for k, v in got.items()}
+    assert not [(n, rows[names.index(n)][1], v) for n, v in known.items() if v in ("", licences.UNKNOWN)]
