@@ -89,9 +89,25 @@ def _features(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _small_windows(x: bytes) -> np.ndarray:
-    """All windows of SMALL bytes of a text with few features; of a shorter text, the text."""
-    spans = [x[k : k + SMALL] for k in range(max(1, min(len(x) - SMALL + 1, FEW * STRETCH)))] if x else []
-    return np.array([xxhash.xxh3_64_intdigest(s) for s in spans], np.uint64)
+    """The distinct windows of SMALL bytes of a whole text with few features, by first place; of a shorter text, the text.
+
+    Such a text is short or repeats itself, so its distinct windows are few; it is read a segment at a time.
+    """
+    if len(x) < SMALL:
+        return np.array([xxhash.xxh3_64_intdigest(x)] if x else [], np.uint64)
+    parts = []
+    for at in range(0, len(x) - SMALL + 1, _SEGMENT):
+        b = np.frombuffer(x, np.uint8, min(_SEGMENT + SMALL - 1, len(x) - at), at).astype(np.uint64)
+        n = len(b) - SMALL + 1
+        value = np.zeros(n, np.uint64)
+        for k in range(SMALL):
+            value |= b[k : k + n] << np.uint64(8 * k)
+        parts.append(_by_first_place(value))
+    return mix(_by_first_place(np.concatenate(parts)))
+
+
+def _by_first_place(values: np.ndarray) -> np.ndarray:
+    return values[np.sort(np.unique(values, return_index=True)[1])]
 
 
 class Digest:
@@ -161,8 +177,7 @@ def digests(texts: list[str]) -> list[Digest]:
         own = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         if len(own) < FEW:
             own = np.concatenate([own, _small_windows(x)])
-        if len(own) > 1:
-            own = own[np.sort(np.unique(own, return_index=True)[1])]
+        own = _by_first_place(own)
         out.append(Digest(own))
     return out
 
