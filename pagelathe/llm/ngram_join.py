@@ -3,7 +3,7 @@
 The product of the document by n-gram incidence matrix with its transpose has the overlap counts. It is taken over
 blocks of n-gram columns, and only as far as size bounds leave pairs to find:
 
-1. Every document's distinct n-grams become hashes; documents with equal sets form one class. A sketch counts
+1. Every document's distinct n-grams become hashes, keyed by a number drawn for the job; documents with equal sets form one class. A sketch counts
    how common each n-gram is. N-grams are ordered rarest first by it.
 2. Two sets of sizes n >= m can reach the threshold only if they share one of the first
    n - ceil(t n) + 1 n-grams in that order. Only those entries, one for a class and task, are shuffled, dealt by
@@ -22,6 +22,7 @@ once for every block that it meets: k / BLOCK times at most, and never as pairs.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ CHUNK_BITS = 16
 #: Columns with more classes than this are multiplied in blocks of rows.
 LONG = 24
 #: Most rows of a block of a group of classes, and about how many entries a block or a star holds at once.
-BLOCK = 512
+BLOCK = 256
 UNIT_ENTRIES = 1 << 20
 _COLUMNS = 8192
 
@@ -49,23 +50,23 @@ def _least(n: np.ndarray | int, num: int, den: int):
     return -(-n * num // den)
 
 
-def _shingled(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def _shingled(batch: pa.RecordBatch, column: int, width: int, key: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row in batch, set) of each text, held a slice at a time."""
     for a in range(0, batch.num_rows, 256):
         texts = [lower_ascii(x) for x in batch.column(column).slice(a, 256).to_pylist()]
         for b, e in byte_slices(texts):
-            for k, own in enumerate(shingle_sets(texts[b:e], width), a + b):
+            for k, own in enumerate(shingle_sets(texts[b:e], width, key), a + b):
                 yield k, own
 
 
-def _profiles(docs: DataFrame, width: int) -> DataFrame:
+def _profiles(docs: DataFrame, width: int, key: int) -> DataFrame:
     """Rows (doc_id, text_key, n, sig) of documents and, of each task, rows (chunk, counts) of its sketch."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
         for batch in batches:
             n, sig, held = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
-            for k, own in _shingled(batch, 2, width):
+            for k, own in _shingled(batch, 2, width, key):
                 n[k], sig[k] = len(own), set_signature(own)
                 if len(own) and sig[k] not in seen:
                     seen.add(sig[k])
@@ -110,7 +111,7 @@ def _frequency(profiles: DataFrame) -> np.ndarray:
     return np.minimum(255, np.log2(np.maximum(total, 1)) * 8).astype(np.uint8)
 
 
-def _entries(docs: DataFrame, width: int, num: int, den: int, frequency: np.ndarray) -> DataFrame:
+def _entries(docs: DataFrame, width: int, num: int, den: int, frequency: np.ndarray, key: int) -> DataFrame:
     """(gram, sig, n): the prefix of each class that a task meets."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
@@ -118,7 +119,7 @@ def _entries(docs: DataFrame, width: int, num: int, den: int, frequency: np.ndar
         order, seen = shared.value, set()
         for batch in batches:
             grams, sigs, sizes = [], [], []
-            for _, own in _shingled(batch, 0, width):
+            for _, own in _shingled(batch, 0, width, key):
                 if not len(own) or (sig := set_signature(own)) in seen:
                     continue
                 seen.add(sig)
@@ -230,7 +231,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _unit_links(width: int, num: int, den: int):
+def _unit_links(width: int, num: int, den: int, key: int):
     """Of a unit of rows (role, sig, docs, text): links between roles 0 and 1, or within role 0 if there is no role 1.
 
     Returns rows (a, b, links): a spanning forest of the links with links null, and with b null, for each
@@ -241,7 +242,7 @@ def _unit_links(width: int, num: int, den: int):
         role, sig, docs, text = (rows.column(c).to_pylist() for c in ("role", "sig", "docs", "text"))
         texts, sides = [lower_ascii(x) for x in text], ({}, {})
         for s, e in byte_slices(texts):
-            for k, own in enumerate(shingle_sets(texts[s:e], width), s):
+            for k, own in enumerate(shingle_sets(texts[s:e], width, key), s):
                 if set_signature(own) == sig[k]:
                     sides[role[k]][sig[k]] = (own, docs[k])
         left, right = sides[0], sides[1] or sides[0]
@@ -317,7 +318,8 @@ def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     text_key is xxhash64(text). Of a component's (doc_id, text_key), (keep_id, keep_key) is the smallest, null ids last;
     component_id does not tell components apart where ids are null or repeated. Rows with empty sets have nulls there.
     """
-    profiles = _profiles(docs, width)
+    key = secrets.randbits(64)
+    profiles = _profiles(docs, width, key)
     rows = profiles.where("chunk IS NULL").select("doc_id", "text_key", "n", "sig")
     frequency = _frequency(profiles)
     classes = written(
@@ -327,7 +329,7 @@ def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         .select("sig", "docs", "n", "first_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")),
         "classes",
     )
-    products = written(_column_products(_entries(docs, width, num, den, frequency), num, den, long_column), "products")
+    products = written(_column_products(_entries(docs, width, num, den, frequency, key), num, den, long_column), "products")
     long = products.where("shared IS NULL")
     members = None
     if not long.isEmpty():
@@ -352,7 +354,7 @@ def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     needed = units.join(classes.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).select("unit", "role", "sig", "docs", "rep_id", "rep_key")
     texts = docs.select(as_long("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     with_text = texts.join(needed, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("unit", "role", "sig", "docs", "text")
-    found = written(with_text.groupBy("unit").applyInArrow(_unit_links(width, num, den), "a long, b long, links long"), "links")
+    found = written(with_text.groupBy("unit").applyInArrow(_unit_links(width, num, den, key), "a long, b long, links long"), "links")
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     # both sides of the joins on labels and classes are plain tables, whose crowded keys adaptive execution splits

@@ -5,19 +5,13 @@ from __future__ import annotations
 from hashlib import blake2b
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 
-#: Words whose hashes a worker keeps; beyond, it begins anew.
-MOST_KNOWN = 1_000_000
-#: From this length on, words are hashed but not kept.
-LONG_WORD = 64
-_KEY = b"words of shingles"
 _SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 _BYTE = _rng.integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ORDER = _rng.integers(1, 1 << 63, 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -43,40 +37,39 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-class _WordHashes(dict):
-    """Hash of each word met; a keyed cryptographic hash, so that words are told apart whatever their wording."""
+def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes; what is held beside them is a segment's."""
+    out, before = [], True
+    for a in range(0, len(x), _SEGMENT):
+        part = x[a : a + _SEGMENT]
+        space = (part - np.uint8(9) < 5) | (part == 0x20)
+        turns = np.flatnonzero(space[1:] != space[:-1]) + (a + 1)
+        out.append(np.concatenate([[a], turns]) if space[0] != before else turns)
+        before = bool(space[-1])
+    edges = np.concatenate([*out, [] if before else [len(x)]]).astype(np.int64)
+    return edges[0::2], edges[1::2]
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = int.from_bytes(blake2b(word, digest_size=8, key=_KEY).digest(), "little") if word else 0
-        return h
 
-
-_known = _WordHashes()
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of all texts, words in each text). Words are runs of bytes but 0x20 and 0x09-0x0D.
 
-    Texts are cut and equal words told by Arrow; only words distinct among the texts become Python objects.
+    A word of up to 16 bytes is two numbers, which are mixed with the key; of a longer one, BLAKE2 with the key makes
+    the hash. With a key that is drawn for a job, no two words can be made to collide beforehand.
     """
-    if len(_known) > MOST_KNOWN:
-        _known.clear()
-    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
-    coded = lists.flatten().view(pa.large_binary()).dictionary_encode()
-    values = coded.dictionary.to_pylist()
-    if not values:
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    flat = b"\n".join([*texts, bytes(16)])
+    size = len(flat) - 16
+    if not texts or size <= len(texts):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    if max(map(len, values)) < LONG_WORD:
-        found = map(_known.__getitem__, values)
-    else:
-        found = (_known[w] if len(w) < LONG_WORD else _WordHashes()[w] for w in values)
-    each = np.fromiter(found, np.uint64, len(values))
-    index = coded.indices.to_numpy()
-    # texts that begin or end with white space have empty words there
-    empty = values.index(b"") if b"" in values else -1
-    real = index != empty
-    upto = np.concatenate([[0], np.cumsum(real)])
-    return (each[index] if empty < 0 else each[index[real]]), np.diff(upto[lists.offsets.to_numpy()])
+    first, last = _edges(np.frombuffer(flat, np.uint8, size))
+    eight = np.ndarray((size + 8,), "<u8", flat, strides=(1,))
+    n = last - first
+    low, high = eight[first] & _MASK[np.minimum(n, 8)], eight[np.minimum(first + 8, size)] & _MASK[np.clip(n - 8, 0, 8)]
+    k1, k2 = (np.uint64(int.from_bytes(blake2b(bytes([j]), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")) for j in (1, 2))
+    hashes = mix(mix(mix(low ^ k1) + (high ^ k2)) + n.astype(np.uint64))
+    for k in np.flatnonzero(n > 16).tolist():
+        hashes[k] = int.from_bytes(blake2b(flat[first[k] : last[k]], digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return hashes, np.diff(np.searchsorted(first, ends), prepend=0)
 
 
 def lower_ascii(text: str | None) -> bytes:
@@ -84,9 +77,9 @@ def lower_ascii(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int, key: int = 0) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; of a text with fewer words, that of the whole sequence."""
-    words, counts = word_hashes(texts)
+    words, counts = word_hashes(texts, key)
     n = max(0, len(words) - width + 1)
     grams = np.zeros(n, np.uint64)
     for k in range(width):
