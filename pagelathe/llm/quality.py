@@ -1,10 +1,10 @@
 """Quality by co-training: a text view and a metadata view teach each other, then are calibrated and combined.
 
-The text view sees how a document is written: shares of kinds of characters and of their pairs, of repeated and
-distinct words, of line shapes. The metadata view sees language, source and length. Each is a logistic
-regression. In every round both score all documents, the most confident of each view become labels
-for the other, and both are fitted again. Calibration and the final weights come from labelled rows
-that took no part in fitting.
+The text view sees what a document says and how it is written: its words and word pairs, hashed, the shares of kinds
+of characters that follow each other, and how much of its words, passages and lines repeats. The metadata view sees
+language, source and length. Each is a logistic regression. In every round both score all documents, the most
+confident of each view become labels for the other, and both are fitted again. Calibration and the final weights come
+from labelled rows that took no part in fitting, the accuracy from others that took part in neither.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import as_long, table, written
-from pagelathe.llm.shingles import word_hashes
+from pagelathe.llm.shingles import mix, word_hashes
 
 #: Labelled rows that are used: those with the smallest hash of their doc_id.
 LABELLED = 20_000
-#: Of these, every so many-th calibrates instead of fitting.
-HELD_OUT = 4
+#: Of so many of these in a row and of one class, two calibrate and one measures the accuracy; the others fit.
+HELD_OUT = 10
 ROUNDS = 3
 #: Pseudo-labels that each view gives the other in a round, for each class; the most confident of all documents.
 PSEUDO = 500
@@ -31,8 +31,11 @@ LEAST_CONFIDENCE = 0.95
 #: A document with a lower combined probability of good quality is rejected.
 KEEP_FROM = 0.5
 
-_KINDS, _SHAPES = 8, 13
-TEXT_FEATURES = _KINDS * _KINDS + _SHAPES
+WORD_SLOTS = PAIR_SLOTS = 128
+_KINDS, _SHAPES, _PASSAGE = 8, 8, 5
+TEXT_FEATURES = WORD_SLOTS + PAIR_SLOTS + _KINDS * _KINDS + _SHAPES
+#: Ridge on the weights of hashed words and pairs, of how a text is written, and of the metadata.
+WORD_RIDGE, SHAPE_RIDGE, META_RIDGE = 100.0, 1.0, 3.0
 META_SLOTS = 64
 
 _KIND = np.full(256, 6, np.uint8)  # other ASCII punctuation
@@ -45,11 +48,24 @@ _KIND[[ord(c) for c in ".,;:'?-\""]] = 5
 _KIND[128:] = 7
 
 
+def _hashed(doc: np.ndarray, hashes: np.ndarray, docs: int, slots: int) -> np.ndarray:
+    """(docs, slots): logarithms of how often the hashes of each document fall into a slot, each row of length 1."""
+    slot = (hashes >> np.uint64(32)).astype(np.int64) % slots
+    out = np.log1p(np.bincount(doc * slots + slot, minlength=docs * slots).reshape(docs, slots))
+    return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
+
+
 def text_features(texts: list[str | None]) -> np.ndarray:
-    """(texts, TEXT_FEATURES) from whole texts; an empty text has zeros."""
+    """(texts, TEXT_FEATURES) from whole texts; a text without words has zeros."""
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     out = np.zeros((len(texts), TEXT_FEATURES), np.float32)
     words, counts = word_hashes(data)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    pairs = mix(words[:-1] * np.uint64(3) + words[1:])
+    same = doc[:-1] == doc[1:]
+    out[:, :WORD_SLOTS] = _hashed(doc, words, len(texts), WORD_SLOTS)
+    out[:, WORD_SLOTS : WORD_SLOTS + PAIR_SLOTS] = _hashed(doc[:-1][same], pairs[same], len(texts), PAIR_SLOTS)
+    kinds = slice(WORD_SLOTS + PAIR_SLOTS, WORD_SLOTS + PAIR_SLOTS + _KINDS * _KINDS)
     at = 0
     for k, (x, m) in enumerate(zip(data, counts.tolist(), strict=True)):
         own = words[at : at + m]
@@ -57,18 +73,17 @@ def text_features(texts: list[str | None]) -> np.ndarray:
         if not m:
             continue
         kind = _KIND[np.frombuffer(x, np.uint8)]
-        pairs = np.bincount(kind[:-1].astype(np.int64) * _KINDS + kind[1:], minlength=_KINDS * _KINDS) if len(kind) > 1 else np.zeros(_KINDS * _KINDS)
+        follows = np.bincount(kind[:-1].astype(np.int64) * _KINDS + kind[1:], minlength=_KINDS * _KINDS)
         n = len(kind)
-        out[k, : _KINDS * _KINDS] = np.sqrt(pairs / max(1, n - 1))
-        share = np.bincount(kind, minlength=_KINDS) / n
-        lines = x.split(b"\n")
-        full = [y for y in lines if y.strip()]
+        out[k, kinds] = np.sqrt(follows / max(1, n - 1))
+        full = [y for y in x.split(b"\n") if y.strip()]
         _, times = np.unique(own, return_counts=True)
-        again = np.mean(own[1:] == own[:-1]) if m > 1 else 0.0
-        period = max((float(np.mean(own[d:] == own[:-d])) for d in (1, 2, 3, 5, 8, 13, 20, 21, 24, 32, 40) if d < m), default=0.0)
-        out[k, _KINDS * _KINDS :] = [
-            np.log1p(m) / 10, np.log1p(n / m) / 3, share[6], share[1], share[2], again, len(times) / m, times.max() / m,
-            np.log1p(len(times)) / max(0.7, np.log1p(m)), period, len(set(full)) / max(1, len(full)), x.count(b" | ") / m, (x.count(b"!!") + x.count(b"$$$") + x.count(b"&&&") + x.count(b"***") + x.count(b"%%%") + x.count(b"###")) / m,
+        passages = own[: max(0, m - _PASSAGE + 1)].copy()
+        for j in range(1, _PASSAGE):
+            passages = mix(passages + own[j : j + len(passages)])
+        out[k, kinds.stop :] = [
+            np.log1p(m) / 10, np.log1p(n / m) / 3, np.mean(own[1:] == own[:-1]) if m > 1 else 0.0, len(times) / m, times.max() / m,
+            np.log1p(len(times)) / max(0.7, np.log1p(m)), 1 - len(np.unique(passages)) / max(1, len(passages)) if len(passages) else 0.0, len(set(full)) / max(1, len(full)),
         ]
     return out
 
@@ -102,10 +117,10 @@ class View:
         return self.slope * (((x - self.mean) / self.scale) @ self.weights + self.bias) + self.offset
 
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression with a ridge on all but the bias."""
+def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression with a ridge on every weight, hardly any on the bias."""
     a = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
-    theta, keep = np.zeros(a.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
+    theta, keep = np.zeros(a.shape[1]), np.append(ridge, 1e-6)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
         grad = a.T @ (w * (p - y)) + keep * theta
@@ -117,7 +132,7 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float, rounds: i
     return theta[:-1], float(theta[-1])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> View:
+def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: np.ndarray) -> View:
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale < 1e-6, 1.0, scale)
     # both classes weigh the same, so that a view learns what they look like, not how common they are
@@ -128,7 +143,7 @@ def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float) -> View:
 
 def _calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
     """Platt's slope and offset on held-out rows."""
-    slope, offset = _newton(view.log_odds(x)[:, None], (y * (y.sum() + 1) / (y.sum() + 2) + (1 - y) / ((1 - y).sum() + 2)), np.ones(len(y)), 1e-3)
+    slope, offset = _newton(view.log_odds(x)[:, None], (y * (y.sum() + 1) / (y.sum() + 2) + (1 - y) / ((1 - y).sum() + 2)), np.ones(len(y)), np.full(1, 1e-3))
     view.slope, view.offset = max(0.0, float(slope[0])), offset
 
 
@@ -137,6 +152,7 @@ class Model:
     text: View
     meta: View
     prior: float
+    #: Of held_out labelled rows that neither fitted nor calibrated.
     accuracy: float
     held_out: int
 
@@ -146,14 +162,14 @@ class Model:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, text_view, slots) of all documents, as a written table."""
+    """(doc_id, tie, text_view, slots) of all documents, as a written table; text_view has 16-bit floats."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 x = text_features(batch.column(2).to_pylist())
-                packed = pa.array([r.tobytes() for r in x], pa.binary())
+                packed = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3)], ["doc_id", "tie", "text_view", "slots"])
 
     read = docs.select(
@@ -164,7 +180,7 @@ def featured(docs: DataFrame) -> DataFrame:
 
 
 def _views(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    text = np.frombuffer(b"".join(r["text_view"] for r in rows), np.float32).reshape(len(rows), TEXT_FEATURES)
+    text = np.frombuffer(b"".join(r["text_view"] for r in rows), np.float16).astype(np.float32).reshape(len(rows), TEXT_FEATURES)
     return text, _meta_matrix(np.array([r["slots"] for r in rows], np.int64).reshape(len(rows), -1))
 
 
@@ -175,7 +191,7 @@ def _scored(views: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                text = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, TEXT_FEATURES)
+                text = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).astype(np.float32).reshape(-1, TEXT_FEATURES)
                 slots = batch.column(3).flatten().to_numpy().reshape(len(text), -1)
                 scores = shared.value.log_odds(text, _meta_matrix(slots))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(s.astype(np.float64)) for s in scores)], [*batch.schema.names, "a", "b", "both"])
@@ -242,20 +258,24 @@ def co_train(views: DataFrame, labels: DataFrame) -> Model | None:
     if y.sum() < 4 or (1 - y).sum() < 4:
         return None
     text, meta = _views(rows)
-    held = np.zeros(len(y), np.bool_)
+    # each row has one use
+    held, measured = np.zeros(len(y), np.bool_), np.zeros(len(y), np.bool_)
     for c in (0, 1):
-        held[np.flatnonzero(y == c)[::HELD_OUT]] = True
+        own = np.flatnonzero(y == c)
+        held[own[::HELD_OUT]] = held[own[3::HELD_OUT]] = measured[own[1::HELD_OUT]] = True
+    fits = ~held & ~measured
     prior = float(np.log(y.mean() / (1 - y.mean())))
     more: dict[str, tuple[np.ndarray, np.ndarray]] = {"text": (text[:0], y[:0]), "meta": (meta[:0], y[:0])}
     model = None
+    text_ridge = np.where(np.arange(TEXT_FEATURES) < WORD_SLOTS + PAIR_SLOTS, WORD_RIDGE, SHAPE_RIDGE)
     for k in range(ROUNDS + 1):
         fitted = {}
-        for name, x, ridge in (("text", text, 1.0), ("meta", meta, 3.0)):
+        for name, x, ridge in (("text", text, text_ridge), ("meta", meta, np.full(META_SLOTS, META_RIDGE))):
             px, py = more[name]
-            weight = np.concatenate([np.ones((~held).sum()), np.full(len(py), 0.5)])
-            fitted[name] = _fit(np.concatenate([x[~held], px]), np.concatenate([y[~held], py]), weight, ridge)
+            weight = np.concatenate([np.ones(fits.sum()), np.full(len(py), 0.5)])
+            fitted[name] = _fit(np.concatenate([x[fits], px]), np.concatenate([y[fits], py]), weight, ridge)
             _calibrate(fitted[name], x[held], y[held])
-        model = Model(fitted["text"], fitted["meta"], prior, 0.0, int(held.sum()))
+        model = Model(fitted["text"], fitted["meta"], prior, 0.0, int(measured.sum()))
         if k == ROUNDS:
             break
         scored = _scored(views, model)
@@ -269,8 +289,8 @@ def co_train(views: DataFrame, labels: DataFrame) -> Model | None:
                 labels_now = np.array([v for _, v in picked])
                 old_x, old_y = more[pupil]
                 more[pupil] = np.concatenate([old_x, t if pupil == "text" else m]), np.concatenate([old_y, labels_now])
-    both = model.log_odds(text[held], meta[held])[2]
-    model.accuracy = float(np.mean((both >= 0) == (y[held] > 0)))
+    both = model.log_odds(text[measured], meta[measured])[2]
+    model.accuracy = float(np.mean((both >= 0) == (y[measured] > 0)))
     return model
 
 

@@ -67,3 +67,46 @@ def test_surest_of_a_crowded_level(spark, monkeypatch):
     got = [bytes(r["text_view"]) for r in quality._surest(df, quality._levels(df), "a", 1, 0)]
     want = sorted(df.collect(), key=lambda r: -r["a"])[:5]
     assert got == [bytes(r["text_view"]) for r in want] and got[0] == got[1]
+
+
+def test_views_on_stored_documents(spark):
+    """Half of the labels is hidden: each view by itself, and both together, must find it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = sorted((r["doc_id"], r["quality"]) for r in labels.collect())
+    shown = spark.createDataFrame([(i, y, 0) for i, y in rows[::2]], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.scored(docs, shown).collect()}
+    hidden = [(got[i], y) for i, y in rows[1::2] if i in got]
+    right = lambda p: sum((r[p] >= 0.5) == bool(y) for r, y in hidden) / len(hidden)
+    assert right("p_good") >= 0.96 and right("p_text") >= 0.95 and right("p_meta") >= 0.8
+    assert sum(r["keep"] for r, y in hidden if y) >= 0.98 * sum(y for _, y in hidden)
+
+
+def brute_features(text):
+    """The features that need no hash, word by word."""
+    words = text.encode().split()
+    passages = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    lines = [x for x in text.split("\n") if x.strip()]
+    top = max(words.count(w) for w in set(words))
+    return [
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words) - 1), len(set(words)) / len(words), top / len(words),
+        1 - len(set(passages)) / len(passages) if passages else 0.0, len(set(lines)) / len(lines),
+    ]
+
+
+def test_features_against_brute_force():
+    texts = [t for _, t, _, _ in corpus(60, 3)] + ["a b c d e a b c d e a b c d e", "x\nx\ny", "one", "w w w"]
+    for x, t in zip(quality.text_features(texts), texts, strict=True):
+        shapes = x[-8:]
+        assert [round(float(v), 4) for v in (shapes[2], shapes[3], shapes[4], shapes[6], shapes[7])] == [round(v, 4) for v in brute_features(t)]
+        assert abs((x[: quality.WORD_SLOTS] ** 2).sum() - 1) < 1e-4
+
+
+def test_the_registered_query(spark):
+    """Every document is scored, and the scores are those of the labels, as a plain count tells."""
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in quality.op1_quality(spark, sf).collect()}
+    assert set(got) == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert sum(got[i]["keep"] == bool(y) for i, y in labels.items()) >= 0.95 * len(labels)
+    assert all(r["keep"] == (r["p_good"] >= quality.KEEP_FROM) for r in got.values())
