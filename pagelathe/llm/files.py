@@ -1,4 +1,4 @@
-"""Files written and read by Python workers, on any file system that pyarrow knows."""
+"""Files written and read by Python workers, on any file system that pyarrow knows; bytes as they are, whatever a name ends with."""
 
 from __future__ import annotations
 
@@ -17,12 +17,12 @@ def create(uri: str) -> BinaryIO:
     """A stream to a new file; its folder is made if missing."""
     store, path = _resolved(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path, buffer_size=1 << 20)
+    return store.open_output_stream(path, compression=None, buffer_size=1 << 20)
 
 
 def open_stream(uri: str) -> BinaryIO:
     store, path = _resolved(uri)
-    return store.open_input_stream(path, buffer_size=1 << 20)
+    return store.open_input_stream(path, compression=None, buffer_size=1 << 20)
 
 
 def open_seekable(uri: str) -> BinaryIO:

@@ -1,8 +1,9 @@
 """WARC archives written and read as a chunked record table.
 
-A payload leaves a reader as rows (record_id, chunk_no): each row has one chunk, the payload's bytes so far and
-the SHA-256 of them, so that the last row has the digest of the whole. Neither side holds more than one
-chunk of a record that it reads. Archives are one gzip member a record, as the standard asks.
+Payloads travel as rows (record, chunk_no) both ways, so that neither side holds more than one chunk of a record
+at a time beside the row it comes from. The writer feeds the chunks of a record, in order, to one gzip member, as the
+standard asks, and checks their running SHA-256 against the digest in the record's head. A reader's row has one
+chunk, the payload's bytes so far and the SHA-256 of them, so that the last row has the digest of the whole.
 """
 
 from __future__ import annotations
@@ -40,11 +41,12 @@ _KINDS = [
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, record_type, refers_to) of each row of (page_id, url, html, ...).
+    """(page_id, url, html, digest, record_type, refers_to, refers_url) of each row of (page_id, url, html, ...).
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, those with the smallest page_id are responses and
     the others revisit that id; where all page_ids of a payload are null, all are responses. A null html is
-    empty, a null url has no target. Only digests that occur twice are joined back.
+    empty, a null url has no target. Only digests that occur twice are joined back, from a table of their own, so
+    that adaptive execution sends it to all or splits the rows of a page that stands very often.
     """
     rows = pages.select(
         as_long("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
@@ -52,40 +54,80 @@ def plan_records(pages: DataFrame) -> DataFrame:
     repeated = (
         rows.where(F.octet_length("html") >= LEAST_REVISIT)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1 AND first_id IS NOT NULL")
-        .select(F.col("digest").alias("_digest"), "first_id")
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
+        .where("n > 1 AND first IS NOT NULL")
+        .select(F.col("digest").alias("_digest"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(repeated, F.col("digest") == F.col("_digest"), "left").select(
+    return rows.join(written(repeated, "warc-repeated"), F.col("digest") == F.col("_digest"), "left").select(
         "page_id", "url", "html", "digest",
         F.when(revisits, "revisit").otherwise("response").alias("record_type"),
         F.when(revisits, F.col("first_id")).alias("refers_to"),
+        F.when(revisits, F.col("first_url")).alias("refers_url"),
     )
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def payload_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A row for each chunk of each of plan_records: its head's columns, payload_bytes, chunk_no, n_chunks and chunk.
+
+    The rows of a record follow each other in one partition. A revisit, like an empty payload, has one, without bytes.
+    """
+    payload = F.encode("html", "UTF-8")
+    whole = F.octet_length("html")
+    sent = F.when(F.col("record_type") == "response", F.greatest(F.lit(1), F.ceil(whole / chunk).cast("int"))).otherwise(1)
+    heads = ["page_id", "url", "digest", "record_type", "refers_to", "refers_url"]
+    cut = records.select(*heads, whole.cast("long").alias("payload_bytes"), payload.alias("_payload"), sent.alias("n_chunks"))
+    each = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
+    part = F.when(F.col("record_type") == "response", F.substring("_payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return each.select(*heads, "payload_bytes", "chunk_no", "n_chunks", part.alias("chunk"))
 
 
 def _line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def _write_record(out: BinaryIO, page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> int:
-    """One record as a gzip member, fed to the compressor chunk by chunk; returns its compressed bytes."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = payload if kind == "response" else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
-    head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
-    head += [] if url is None else [f"WARC-Target-URI: {_line(url)}"]
-    if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
-    head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}"]
-    pack, size = zlib.compressobj(1, zlib.DEFLATED, 31), 0
-    for piece in ("\r\n".join(head).encode() + b"\r\n\r\n" + http, *(body[k : k + CHUNK] for k in range(0, len(body), CHUNK)), b"\r\n\r\n"):
-        size += out.write(data) if (data := pack.compress(piece)) else 0
-    return size + out.write(pack.flush())
+class _Archive:
+    """An archive under way: records are begun, fed chunk by chunk, and ended."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.out, self.size, self.records = path, files.create(path), 0, 0
+
+    def record_id(self, number: int) -> str:
+        """Of an archive, whose name no other has, and a number in it: no two records are named alike."""
+        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.path}#{number}')}>"
+
+    def begin(self, page_id: int | None, url: str | None, digest: str, kind: str, refers_to: int | None, refers_url: str | None, payload_bytes: int) -> None:
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
+        body = payload_bytes if kind == "response" else 0
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {self.record_id(self.records)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+        head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
+        head += [] if url is None else [f"WARC-Target-URI: {_line(url)}"]
+        if kind == "revisit":
+            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Date: 1970-01-01T00:00:00Z", f"X-Refers-To-Page-Id: {refers_to}"]
+            head += [] if refers_url is None else [f"WARC-Refers-To-Target-URI: {_line(refers_url)}"]
+        head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {payload_bytes}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + body}"]
+        self.pack, self.left, self.so_far, self.stated = zlib.compressobj(1, zlib.DEFLATED, 31), body, hashlib.sha256(), digest if body else None
+        self._put("\r\n".join(head).encode() + b"\r\n\r\n" + http)
+
+    def _put(self, piece: bytes) -> None:
+        if data := self.pack.compress(piece):
+            self.size += self.out.write(data)
+
+    def feed(self, chunk: bytes) -> None:
+        self.so_far.update(chunk)
+        self.left -= len(chunk)
+        self._put(chunk)
+
+    def end(self) -> None:
+        if self.left or (self.stated and self.so_far.hexdigest() != self.stated):
+            raise ValueError(f"{self.path}: the chunks of record {self.records} are not its payload")
+        self._put(b"\r\n\r\n")
+        self.size += self.out.write(self.pack.flush())
+        self.records += 1
+
+    def close(self) -> pa.RecordBatch:
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"archive": [self.path], "records": pa.array([self.records], pa.int64())})
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -94,27 +136,23 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or shared_folder(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, path, size, records = None, "", 0, 0
-
-        def closed() -> pa.RecordBatch:
-            out.close()
-            return pa.RecordBatch.from_pydict({"archive": [path], "records": pa.array([records], pa.int64())})
-
+        out: _Archive | None = None
         for batch in batches:
-            for row in zip(*(batch.column(k) for k in range(6)), strict=True):
-                page_id, url, html, digest, kind, refers_to = (x.as_py() for x in row)
-                if out is None:
-                    path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                    out, size, records = files.create(path), 0, 0
-                size += _write_record(out, page_id, url, html.encode(), digest, kind, refers_to)
-                records += 1
-                if size >= ARCHIVE_BYTES:
-                    yield closed()
-                    out = None
+            for row in zip(*(batch.column(k) for k in range(10)), strict=True):
+                *head, size, chunk_no, n_chunks, chunk = (x.as_py() for x in row)
+                if not chunk_no:
+                    if out is not None and out.size >= ARCHIVE_BYTES:
+                        yield out.close()
+                        out = None
+                    out = out or _Archive(f"{folder}/{uuid.uuid4().hex}.warc.gz")
+                    out.begin(*head, size)
+                out.feed(chunk)
+                if chunk_no == n_chunks - 1:
+                    out.end()
         if out is not None:
-            yield closed()
+            yield out.close()
 
-    return written(plan_records(pages).mapInArrow(write, "archive string, records long"), "warc-manifest")
+    return written(payload_chunks(plan_records(pages)).mapInArrow(write, "archive string, records long"), "warc-manifest")
 
 
 class _Inflated:
@@ -166,7 +204,10 @@ def _header(source: _Inflated) -> tuple[dict[str, str], int]:
 
 
 def read_chunks(source: BinaryIO, archive: str = "", chunk: int = CHUNK) -> Iterator[tuple]:
-    """Rows of CHUNK_SCHEMA. A record without payload has one row, with an empty chunk."""
+    """Rows of CHUNK_SCHEMA. A record without payload has one row, with an empty chunk.
+
+    A response whose bytes are not those that its head states, by number or digest, is an error.
+    """
     stream, record_no = _Inflated(source), 0
     while line := stream.line():
         if not line.startswith(b"WARC/"):
@@ -192,15 +233,18 @@ def read_chunks(source: BinaryIO, archive: str = "", chunk: int = CHUNK) -> Iter
             data = b"".join(parts)
             so_far.update(data)
             seen, left = seen + len(data), left - len(data)
-            yield *lead, chunk_no, not left, data, seen, so_far.copy().hexdigest(), *stated
+            digest_now = so_far.copy().hexdigest()
+            if not left and lead[3] == "response" and (stated[0] not in (None, seen) or stated[1] not in (None, digest_now)):
+                raise ValueError(f"{archive}: record {record_no} is not the payload that its head states")
+            yield *lead, chunk_no, not left, data, seen, digest_now, *stated
             chunk_no += 1
             if not left:
                 break
         record_no += 1
 
 
-def chunk_table(manifest: DataFrame, with_payload: bool = True, last_only: bool = False) -> DataFrame:
-    """The chunked record table of the archives of a manifest; last_only gives the final row of each record."""
+def chunk_table(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The chunked record table of the archives of a manifest; without payload, chunks are read and digested but null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +253,6 @@ def chunk_table(manifest: DataFrame, with_payload: bool = True, last_only: bool
                     out: list[tuple] = []
                     held = 0
                     for row in read_chunks(source, path):
-                        if last_only and not row[8]:
-                            continue
                         out.append(row if with_payload else (*row[:9], None, *row[10:]))
                         held += 500 + len(row[9]) * with_payload
                         if held >= 4_000_000:
@@ -228,9 +270,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """One row a record, from its last chunk. A revisit has no payload: its size and digest are those stated,
-    which were checked against its response's when it was written; a response's are those of the bytes read."""
-    ends = chunk_table(manifest, with_payload=False, last_only=True)
+    """One row a record, from its last chunk's row. A revisit has no payload: its size and digest are those stated;
+    it was written because a response has the same digest. A response's are those of the bytes read, which the
+    reader has compared with those stated."""
+    ends = chunk_table(manifest, with_payload=False).where("is_last")
     whole = F.col("record_type") == "response"
     return ends.select(
         "page_id",
