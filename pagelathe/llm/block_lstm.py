@@ -8,7 +8,7 @@ from pagelathe.llm.html_blocks import NUMBERS, PATH_SLOTS, WORD_SLOTS, Block, Fe
 from pagelathe.llm.page_samples import Pages
 
 EMBED, HIDDEN = 32, 24
-TRAIN_PAGES, EPOCHS, BATCH, SEED = 900, 7, 32, 5
+TRAIN_PAGES, EPOCHS, BATCH, SEED = 1400, 8, 32, 5
 Weights = dict[str, np.ndarray]
 
 

@@ -24,7 +24,12 @@ _CONTAINERS = {
     "comment": ['section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="commentlist"', 'section id="comments"', 'div class="comments"', 'div class="discussion replies"'],
     "foot": ['footer', 'div class="footer"', 'div id="footer"', 'footer class="site-footer"', 'div role="contentinfo"'],
 }
-_MAIN = ['article', 'article', 'article', 'main', 'div class="content"', 'div id="content"', 'div class="post"', 'article class="entry"', 'div class="article-body"', 'section class="story"', 'div role="main"', 'main id="main"']
+_MAIN = ['article', 'article', 'article', 'main', 'div class="content"', 'div id="content"', 'div class="post"', 'article class="entry"', 'div class="article-body"', 'section class="story"', 'div role="main"', 'main id="main"', 'main id="primary" class="site-main"', 'article class="post type-post hentry"', 'main class="main-content"', 'div id="main" class="site-content"', 'div class="page-body"', 'div class="blog-post"']
+
+#: What stands around a whole page, or within the main part, without telling anything.
+_OUTER = ['div id="page"', 'div class="container"', 'div id="wrapper"', 'div class="site"', 'div id="page" class="hfeed site"', 'div class="row"', 'div class="layout"', 'div id="root"']
+_INNER = ['div class="entry-content"', 'div class="post-body"', 'div class="article-content"', 'div itemprop="articleBody"', 'div class="text"', 'section class="content"', 'div class="post-content"', 'div class="story-body"', 'div class="field body"', 'div']
+_MARKS = ["lead", "intro", "first", "text", "block", "item", "title", "col", "inner", "main", "small", "large", "left", "right", "wide", "entry-title", "widget-title", "menu-item", "wp-block", "paragraph"]
 
 
 class Pages:
@@ -55,6 +60,8 @@ class Pages:
             body = f'<a href="/{len(out)}">{body}</a>' if link else body
             body = f"<b>{body}" + "</b>" * (r.random() < 0.5) if r.random() < 0.15 else body
             body += "<br>" * (r.random() < 0.1)
+            if r.random() < 0.15 and " " not in tag:
+                tag += f' class="{r.choice(_MARKS) if r.random() < 0.6 else self._word()}"'
             out.append(f"<{tag}>{body}" + ("" if open_end else f"</{tag.split()[0]}>"))
             truth.append((text, main))
 
@@ -62,7 +69,9 @@ class Pages:
             box = r.choice(_CONTAINERS[kind])
             cue = {"head": "nav"}.get(kind, kind)
             wrap = r.random() < 0.2
-            out.append("<div>" * wrap + f"<{box}>")
+            grid = kind in ("nav", "side", "ad") and r.random() < 0.12
+            box = r.choice(['td class="sidebar"', 'td class="nav"', 'td id="menu"', 'td class="left"', "td"]) if grid else box
+            out.append('<table class="layout"><tr>' * grid + "<div>" * (wrap and not grid) + f"<{box}>")
             shape = {"nav": "list", "foot": "plain", "ad": "plain", "notice": "plain"}.get(kind) or r.choice(["list", "plain", "paras"])
             if kind == "form":
                 for _ in range(r.randint(1, 4)):
@@ -83,22 +92,28 @@ class Pages:
             else:
                 for _ in range(r.randint(1, 4)):
                     leaf(r.choice(["p", "h3", "h4", "div", "span" if False else "p"]), self._text(cue if r.random() < 0.5 else None, 2, 30), False, link=r.random() < 0.3)
-            out.append(f"</{box.split()[0]}>" + "</div>" * wrap)
+            out.append(f"</{box.split()[0]}>" + "</div>" * (wrap and not grid) + "</tr></table>" * grid)
 
         title = self._text(None, 2, 10)
         out.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{esc(title)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>")
         truth.append((title, False))
+        outer = [r.choice(_OUTER) for _ in range(r.choice([0, 0, 0, 1, 1, 2]))]
+        out += [f"<{x}>" for x in outer]
         for kind in r.sample(["nav", "head", "ad", "notice", "side", "form"], r.randint(1, 5)):
             if r.random() < 0.8:
                 chrome(kind)
         wrap = r.random() < 0.3
         main = r.choice(_MAIN)
         out.append('<div class="wrapper">' * wrap + f"<{main}>")
+        within = r.choice(_MAIN) if r.random() < 0.3 else ""
+        out.append(f"<{within}>" if within else "")
         top = r.random()
-        out.append("<header>" * (top < 0.1))
+        out.append('<header class="entry-header">' if top < 0.05 else "<header>" * (top < 0.1))
         if r.random() < 0.9:
             leaf("h1", title if r.random() < 0.6 else self._text(None, 2, 10), True)
         out.append("</header>" * (top < 0.1))
+        inner = [r.choice(_INNER) for _ in range(r.choice([0, 0, 0, 1, 1, 2]))]
+        out += [f"<{x}>" for x in inner]
         few = r.random() < 0.3
         for _ in range(r.randint(1, 2) if few else r.randint(2, 16)):
             kind, x = r.random(), r.random()
@@ -112,7 +127,10 @@ class Pages:
                     leaf("li", self._text(None, 1, 25), True, link=r.random() < 0.15)
                 out.append("</ul>" if x < 0.6 else "</ol>")
             elif kind < 0.9:
-                leaf(r.choice(["blockquote", "pre", "div", "figcaption", "div class=\"text\"", "section"]), self._text(None, 2, 50), True)
+                tag = r.choice(["blockquote", "pre", "div", "figcaption", "div class=\"text\"", "section", "quoted"])
+                out.append("<blockquote>" * (tag == "quoted"))
+                leaf("p" if tag == "quoted" else tag, self._text(None, 2, 50), True)
+                out.append("</blockquote>" * (tag == "quoted"))
             elif kind < 0.93:
                 out.append("<table><tr>")
                 for _ in range(r.randint(2, 6)):
@@ -122,10 +140,12 @@ class Pages:
                 chrome(r.choice(["ad", "side", "notice", "form"]))
             else:
                 out.append("<!-- note --><script>x('<p>no</p>')</script>")
+        out += [f"</{x.split()[0]}>" for x in [*reversed(inner), within] if x]
         if r.random() < 0.1:
             chrome("comment")
         out.append(f"</{main.split()[0]}>" + "</div>" * wrap)
         for kind in ("comment", "side", "ad", "form", "notice", "foot"):
             if r.random() < (0.8 if kind == "foot" else 0.3):
                 chrome(kind)
+        out += [f"</{x.split()[0]}>" for x in reversed(outer)]
         return "".join(out) + "</body></html>", truth
