@@ -38,30 +38,42 @@ def _class_of(size: Column) -> Column:
     return F.when(size <= EXACT_SIZES, size).otherwise(fine).cast("int")
 
 
+def _numbered_sources(sources: DataFrame) -> DataFrame:
+    """sources with nth, their place by code point from 0, null last. Ranges of names are numbered by themselves and
+    shifted by the counts of the ranges before, so that no task holds all names."""
+    by_name = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    ranges = sources.repartitionByRange(*by_name).withColumn("_range", F.spark_partition_id())
+    ranges = written(ranges, "mix-sources")  # the ranges are cut once
+    sizes = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())  # one row a task
+    shifts, before = [], 0
+    for k, n in sizes:
+        shifts.append((k, before))
+        before += n
+    shift = sources.sparkSession.createDataFrame(shifts, "_r int, _shift long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by_name)) - 1
+    return ranges.withColumn("_in", inside).join(F.broadcast(shift), F.col("_range") == F.col("_r")).withColumn("nth", F.col("_in") + F.col("_shift")).drop("_range", "_r", "_in", "_shift")
+
+
 def source_targets(sources: DataFrame) -> DataFrame:
     """(source, source_size, target) of a table (source, source_size).
 
     Sources by code point, null last, weigh 1, 2, 3, 1, ... and share the whole; a target stops at MOST_COPIES
     times its source's size, and what is over is shared again by weight. That is filling to a common level:
-    target = min(cap, level * weight); sources reach their caps in the order of cap / weight, and with
-    one more source at its cap the level rises while that is right, then falls, so it is the largest. The windows
-    run over one row a source.
+    target = min(cap, level * weight). The level starts as if nothing were capped and rises, a sum over the sources at a
+    time, until no further source reaches its cap.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    weighed = sources.withColumn("weight", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("double")).withColumn(
-        "cap", (F.col("source_size") * MOST_COPIES).cast("double")
-    )
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.encode("source", "UTF-8"))
-    whole = Window.partitionBy()
-    levels = (
-        weighed.withColumn("total", F.sum("source_size").over(whole).cast("double"))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-        .withColumn("level", F.max("level").over(whole))
-    )
-    target = F.least("cap", F.col("level") * F.col("weight"))
-    return levels.select("source", "source_size", F.coalesce(target, F.col("cap")).alias("target"))
+    weighed = _numbered_sources(sources).withColumn("weight", (F.col("nth") % 3 + 1).cast("double")).withColumn("cap", (F.col("source_size") * MOST_COPIES).cast("double"))
+    weighed = written(weighed.select("source", "source_size", "weight", "cap"), "mix-weights")
+    total, weights = weighed.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level = (total or 0.0) / (weights or 1.0)
+    while total:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        capped, free = weighed.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~full, F.col("weight")))).first()
+        higher = (total - capped) / free if free else level
+        if higher <= level:
+            break
+        level = higher
+    return weighed.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def balanced_rates(cells: DataFrame, targets: DataFrame) -> DataFrame:

@@ -1,5 +1,11 @@
+import zlib
+
 import brute
 import corpus_pipeline as C
+import numpy as np
+import public_tokenizers
+from pagelathe.llm import packing
+from test_tokens import plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +31,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in mixed} <= want
     taken = sum(words(r["text"]) for r in mixed)
     assert abs(taken - sum(words(r["text"]) for r in single)) < 0.02 * taken
-    assert sum(r["start"] == 0 for r in packed) == len(mixed)
+    encode = plain(public_tokenizers.path("word_bpe_49k.json"))
+    want_pieces = []
+    for r in mixed:
+        ids = [*encode(r["text"]), packing.END_ID]
+        want_pieces += [(r["doc_id"], a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes()), len(ids)) for a in range(0, len(ids), 2048)]
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in packed) == sorted(want_pieces)
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 2048
+    assert sum(r["length"] for r in packed) >= 0.97 * 2048 * len(sequences)
 
 
 def single(spark, df):
