@@ -7,9 +7,10 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe import transport
 from pagelathe.operators import model_output
 from pagelathe.operators.documents import format_profile, route
 from pagelathe.sources import files
@@ -64,8 +65,51 @@ def answered(requests: DataFrame, replies: DataFrame) -> DataFrame:
     return requests.join(replies.select("doc_id", "page", "endpoint", "stage", "body"), ["doc_id", "page", "endpoint", "stage"], "left")
 
 
+def only_pages(rows: DataFrame, pages: tuple[int, ...]) -> DataFrame:
+    """Rows of parsed() of the pages asked for, counted from 1; what belongs to no page stays. All, if none is asked for."""
+    return rows.where(F.col("unit_no").isNull() | (F.col("unit_no") + 1).isin(list(pages))) if pages else rows
+
+
 def parse(df: DataFrame, options: ParseOptions | None = None) -> DataFrame:
-    return files.parsed(df, (options or ParseOptions()).reader())
+    """Rows of files (path, content), of options.pages only, read by up to options.concurrency tasks at a time.
+
+    Protocols other than native read no files: their replies go through replies_to_blocks().
+    """
+    options = options or ParseOptions()
+    if options.protocol not in ("auto", "native", *PROTOCOLS):
+        raise ValueError(f"unknown protocol {options.protocol!r}")
+    return only_pages(files.parsed(df.repartition(options.concurrency), options.reader()), options.pages)
+
+
+def parse_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, options: ParseOptions | None = None):
+    """Parse files as they arrive in a folder, in windows of options.effective_window files."""
+    from pagelathe.streaming import ingest
+
+    return ingest.write_windows(ingest.arriving(spark, folder, (options or ParseOptions()).effective_window), out, checkpoint)
+
+
+def request(options: ParseOptions, prompt: str, png: bytes | None = None, config: str = "", **sampling: object) -> tuple[str | None, dict]:
+    """(endpoint, body) of a chat request of options' protocol; endpoint and model as given, by environment or configuration."""
+    endpoint, model = transport.resolved(options.protocol, options.endpoint, options.model, config)
+    return endpoint, transport.chat_request(model or "", prompt, png, **sampling)
+
+
+def cache_clear(spark: SparkSession, folder: str) -> bool:
+    """Delete a cache folder, on any file system; False if there was none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def cache_stat(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Files of a cache folder and their bytes; zeros if there is none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return {"entries": 0, "total_bytes": 0}
+    summary = store.getContentSummary(path)
+    return {"entries": int(summary.getFileCount()), "total_bytes": int(summary.getLength())}
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -92,5 +136,5 @@ def parse_bytes(data: bytes, name: str = "", options: ParseOptions | None = None
 
 
 __all__ = [
-    "EXIT_CODES", "PROTOCOLS", "DocumentError", "ParseOptions", "answered", "classify", "detect", "document_json", "document_markdown", "error_class", "parse", "parse_bytes", "replies_to_blocks",
+    "EXIT_CODES", "PROTOCOLS", "DocumentError", "ParseOptions", "answered", "cache_clear", "cache_stat", "only_pages", "parse_stream", "request", "classify", "detect", "document_json", "document_markdown", "error_class", "parse", "parse_bytes", "replies_to_blocks",
 ]

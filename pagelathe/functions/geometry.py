@@ -58,3 +58,16 @@ def bounds(points: Column) -> Column:
 
 def translated(b: Column, dx: Column, dy: Column) -> Column:
     return box(b["x0"] + dx, b["y0"] + dy, b["x1"] + dx, b["y1"] + dy)
+
+
+def polygon_bounds(corners: Column) -> Column:
+    """The box around a flat list of 4 numbers, two corners, or 8, four corners; null for other lengths."""
+    even, odd = F.filter(corners, lambda _, k: k % 2 == 0), F.filter(corners, lambda _, k: k % 2 == 1)
+    around = F.struct(F.array_min(even).alias("x0"), F.array_min(odd).alias("y0"), F.array_max(even).alias("x1"), F.array_max(odd).alias("y1"))
+    return F.when(F.size(corners).isin(4, 8), around)
+
+
+def pixels_to_points(b: Column, dpi: Column, left: Column, top: Column) -> Column:
+    """A box of a crop in pixels, in points of the page that it was cut from; a resolution of 0 counts as 72."""
+    scale = F.when(dpi > 0, F.lit(72.0) / dpi).otherwise(F.lit(1.0))
+    return F.struct(*[(b[c] * scale + (left if c[0] == "x" else top)).alias(c) for c in ("x0", "y0", "x1", "y1")])

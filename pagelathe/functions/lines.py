@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Prefixes, bullets and limits on which results depend.
-CAPTION_PREFIXES = ["Figura ", "Fig. ", "Fig ", "Tabela ", "Source: ", "Source ", "Fonte ", "Fonte: ", "Chart ", "Gráfico ", "Graph ", "Diagram ", "Image ", "Imagem ", "Photo ", "Foto "]
+CAPTION_PREFIXES = ["Figura ", "Fig. ", "Fig ", "Tabela ", "Source:", "Fonte:", "Source ", "Fonte ", "Note:", "Nota:", "Chart ", "Gráfico ", "Graph ", "Diagram ", "Image ", "Imagem ", "Photo ", "Foto "]
 CODE_PREFIXES = ["import ", "export ", "from ", "const ", "let ", "var ", "function ", "class ", "def ", "pub fn ", "fn ", "async fn ", "impl ", "=> ", "-> ", ":: ", ":= "]
 BULLETS = "•○●◦"
+MATHS_SIGNS = "=<>≤≥≪≫≈≠±∑∫√∝"
 MONOSPACE_FONTS = ["courier", "consolas", "monaco", "menlo", "mono", "fixed", "terminal", "typewriter", "source code", "fira code", "jetbrains", "inconsolata"]
 MOST_CODE_BYTES, LEAST_CODE_MARKS = 200, 3
 
@@ -22,6 +23,7 @@ CAPTION = "^(?:" + "|".join(p.replace(".", r"\.") for p in CAPTION_PREFIXES) + r
 CODE_PREFIX = "^(?:" + "|".join(CODE_PREFIXES) + ")"
 CODE_MARKS = r"[{}()\[\];=<>]"
 CODE_END = r"[;{}]$"
+EQUATION_NUMBER = r"^\([0-9]{1,3}\)$"
 DOT_LEADERS = r"\.{4}|\.{3}[^.](?:.*[^.])?\.{3}"
 TOC_ENTRY = r"\.{3,}\s*[0-9]{1,4}\s*$"
 STRUCTURAL = r"^(?:#|[-*•] |[0-9].*[.)] )"
@@ -113,3 +115,17 @@ def is_title_like(line: Column) -> Column:
     return (
         words.between(1, 12) & F.length(t).between(4, 140) & t.rlike(r"\p{L}") & ~t.rlike("[.,;]$") & ~is_list_item(t) & ~is_caption(t) & ~has_dot_leaders(t)
     )
+
+
+def is_heading_fragment(line: Column) -> Column:
+    """One or two words that begin in lower case, a page of a total, or an equation's number with maths or a lead-in."""
+    t = F.regexp_replace(line, r"[\s\p{Z}]+$", "")
+    words = F.filter(F.split(t, r"[\s\p{Z}]+"), lambda w: w != "")
+    small = (F.size(words) <= 2) & F.regexp_extract(t, r"(\p{L})", 1).rlike(r"^\p{Ll}$")
+    pieces = F.split(t, " ")
+    last, before = F.element_at(pieces, -1), F.coalesce(F.try_element_at(pieces, F.lit(-2)), F.lit(""))
+    total = F.regexp_extract(last, "([0-9]+)", 1).try_cast("long")
+    page_of = F.coalesce(F.when(before.rlike("^[0-9]{1,9}$"), before.try_cast("long") <= total), F.lit(False))
+    numbered = last.rlike(EQUATION_NUMBER) & (page_of | before.rlike("[,:]$") | t.rlike(f"[{MATHS_SIGNS}]"))
+    lead_in = t.endswith(":") & F.exists(words, lambda w: w.rlike(EQUATION_NUMBER))
+    return small | numbered | lead_in

@@ -12,6 +12,18 @@ SUBSCRIPTS, SUPERSCRIPTS = "₀₁₂₃₄₅₆₇₈₉", "⁰¹²³⁴⁵⁶
 LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")]
 ROMANS = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
 
+COMMON_WORDS = ["the", "and", "of", "to", "in", "a", "is", "that", "for", "with", "on", "as", "by", "from", "this", "be", "are", "at", "or", "not", "it", "our"]
+DASHES = "—–‒-"
+REMAP_LEAD = 3
+
+# Patterns that Java and RE2 read alike.
+URL = r"https?://[^\s<>)\]]+[^\s<>)\].,;]"
+RTL = r"[\x{590}-\x{5FF}\x{600}-\x{6FF}\x{700}-\x{74F}\x{750}-\x{77F}\x{780}-\x{7BF}\x{7C0}-\x{7FF}\x{800}-\x{83F}\x{840}-\x{85F}\x{8A0}-\x{8FF}\x{FB1D}-\x{FB4F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
+CJK = r"[\x{1100}-\x{11FF}\x{3000}-\x{303F}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
+HAN_KANA = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
+ROMAN = "^(c*)(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+NUMERIC = r"^[0-9,.()+%-]*[0-9][0-9,.()+%-]*$"
+
 HAN = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]"
 
 
@@ -163,3 +175,69 @@ def cell_number(value: Column) -> Column:
     whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
     other = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", value), "0+$", ""), r"\.$", "")
     return F.when(whole, value.cast("long").cast("string")).otherwise(other)
+
+
+def is_rtl(text: Column) -> Column:
+    """More letters that are written from right to left than others; Chinese, Japanese and Korean ones count as neither."""
+    rtl = F.regexp_count(text, F.lit(RTL))
+    letters = F.regexp_count(F.regexp_replace(F.regexp_replace(text, RTL, ""), CJK, ""), F.lit(r"\p{L}"))
+    return (rtl > 0) & (rtl > letters)
+
+
+def preview(text: Column, most: int) -> Column:
+    """The first characters of a text."""
+    return F.left(text, F.lit(most))
+
+
+def link_urls(text: Column) -> Column:
+    """Bare web addresses as Markdown links; not those that follow "](" or stand within an open bracket."""
+    gaps, urls = F.split(text, URL), F.regexp_extract_all(text, F.lit(f"({URL})"), F.lit(1))
+    depth = lambda x: F.length(F.regexp_replace(x, r"[^\[]", "")) - F.length(F.regexp_replace(x, r"[^\]]", ""))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("open"))
+
+    def step(state: Column, pair: Column) -> Column:
+        inside = state["open"] + depth(pair["gap"])
+        linked = pair["gap"].endswith("](") | (inside > 0)
+        shown = F.when(linked, pair["url"]).otherwise(F.concat(F.lit("["), pair["url"], F.lit("]("), pair["url"], F.lit(")")))
+        return F.struct(F.concat(state["out"], pair["gap"], shown).alias("out"), (inside + depth(pair["url"])).alias("open"))
+
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(urls)), urls, lambda g, u: F.struct(g.alias("gap"), u.alias("url")))
+    return F.concat(F.aggregate(pairs, start, step)["out"], F.element_at(gaps, -1))
+
+
+def financial_values(text: Column) -> Column:
+    """The values of a run of amounts: numbers, dashes, and dollar signs with their number; null if anything else is there."""
+    words = F.filter(F.split(text, r"[\s\p{Z}]+"), lambda w: w != "")
+    plain = F.array_join(words, " ")
+    values = F.regexp_extract_all(plain, F.lit(r"(\$ [^ ]+|[^ ]+)"), F.lit(1))
+    fine = F.forall(values, lambda v: F.regexp_replace(v, r"^\$ ", "").rlike(NUMERIC) | v.rlike(f"^[{DASHES}]$"))
+    return F.when((F.size(values) > 0) & fine, values)
+
+
+def roman_value(token: Column) -> Column:
+    """The value of a Roman numeral of up to 8 letters i, v, x, l, c in its usual form, either case; else null."""
+    t = F.lower(F.trim(token))
+    part = lambda k: F.regexp_extract(t, ROMAN, k)
+    tens = F.when(part(2) == "xc", 90).when(part(2) == "xl", 40).otherwise(F.when(part(2).startswith("l"), 50).otherwise(0) + F.length(F.replace(part(2), F.lit("l"), F.lit(""))) * 10)
+    ones = F.when(part(3) == "ix", 9).when(part(3) == "iv", 4).otherwise(F.when(part(3).startswith("v"), 5).otherwise(0) + F.length(F.replace(part(3), F.lit("v"), F.lit(""))))
+    return F.when(F.length(t).between(1, 8) & t.rlike(ROMAN), F.length(part(1)) * 100 + tens + ones)
+
+
+def roman_lower(n: Column) -> Column:
+    """Lower-case Roman numeral with letters up to c."""
+    return F.lower(F.concat(F.repeat(F.lit("C"), F.floor(n / 100).cast("int")), roman(n % 100)))
+
+
+def word_score(text: Column) -> Column:
+    """How much a text looks like words: common words, letters, blanks and digits for it, signs and controls against."""
+    n = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    hits = F.size(F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.lower(w).isin(COMMON_WORDS)))
+    letters, blanks, digits, broken = n("[A-Za-z]") + n(HAN_KANA), n(" "), n("[0-9]"), n(r"[\p{Cc}\x{FFFD}]")
+    other = F.length(text) - letters - blanks - digits - broken
+    score = hits * 10 + letters + blanks * 2 + digits - (other + broken * 3) * 2
+    return score - F.when((letters > 15) & (hits == 0), 15).otherwise(0)
+
+
+def better_decode(primary: Column, remapped: Column) -> Column:
+    """Of two readings of one string, the second if the first is empty or scores clearly less."""
+    return F.when(primary == "", remapped).when(remapped == "", primary).when(word_score(remapped) > word_score(primary) + REMAP_LEAD, remapped).otherwise(primary)

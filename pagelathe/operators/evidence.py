@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions import lines as L
+from pagelathe.functions import quality as Q
+from pagelathe.operators.ranges import BAND, banded
 
 # Fixed values.
 RULE_THICKNESS, RULE_OVERLAP, RULE_BELOW = 2.0, 0.6, 3.0
@@ -16,19 +18,23 @@ TABLE_SHARE, TEXT_SHARE = 0.5, 0.7
 
 def underlined(items: DataFrame, rules: DataFrame) -> DataFrame:
     """The items (doc_id, page, item_no, ...) under which a thin rule runs along most of their width."""
-    i, r = items.alias("i"), rules.alias("r")
+    top = F.col("y") + F.col("height")
+    # an item is in the one band of its baseline; a rule in all bands whose baselines it may underline
+    i = items.withColumn("_band", F.floor(F.col("y") / BAND).cast("int")).alias("i")
+    r = banded(rules.where(F.col("height") <= RULE_THICKNESS), top - 1, top + RULE_BELOW).alias("r")
     along = F.least(F.col("i.x") + F.col("i.width"), F.col("r.x") + F.col("r.width")) - F.greatest("i.x", "r.x")
     below = (F.col("r.y") + F.col("r.height")).between(F.col("i.y") - RULE_BELOW, F.col("i.y") + 1)
-    hit = (F.col("i.doc_id") == F.col("r.doc_id")) & (F.col("i.page") == F.col("r.page")) & (F.col("r.height") <= RULE_THICKNESS) & below & (along >= F.col("i.width") * RULE_OVERLAP)
-    return i.join(r, hit, "left_semi")
+    same = (F.col("i.doc_id") == F.col("r.doc_id")) & (F.col("i.page") == F.col("r.page")) & (F.col("i._band") == F.col("r._band"))
+    return i.join(r, same & below & (along >= F.col("i.width") * RULE_OVERLAP), "left_semi").select(items.columns)
 
 
 def outside(items: DataFrame, regions: DataFrame) -> DataFrame:
     """The items whose centre lies in no region (doc_id, page, x0, y0, x1, y1) of their page."""
-    i, r = items.alias("i"), regions.alias("r")
+    i = items.withColumn("_band", F.floor((F.col("y") + F.col("height") / 2) / BAND).cast("int")).alias("i")
+    r = banded(regions, F.col("y0"), F.col("y1")).alias("r")
     cx, cy = F.col("i.x") + F.col("i.width") / 2, F.col("i.y") + F.col("i.height") / 2
-    inside = (F.col("i.doc_id") == F.col("r.doc_id")) & (F.col("i.page") == F.col("r.page")) & cx.between(F.col("r.x0"), F.col("r.x1")) & cy.between(F.col("r.y0"), F.col("r.y1"))
-    return i.join(r, inside, "left_anti")
+    same = (F.col("i.doc_id") == F.col("r.doc_id")) & (F.col("i.page") == F.col("r.page")) & (F.col("i._band") == F.col("r._band"))
+    return i.join(r, same & cx.between(F.col("r.x0"), F.col("r.x1")) & cy.between(F.col("r.y0"), F.col("r.y1")), "left_anti").select(items.columns)
 
 
 def in_grid(items: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
@@ -134,3 +140,41 @@ def isolated_lines(lines: DataFrame, gap: float) -> DataFrame:
     free = lambda d: F.coalesce(d > gap, F.lit(True))
     got = lines.withColumn("_up", F.lag("y").over(order) - F.col("y")).withColumn("_down", F.col("y") - F.lead("y").over(order))
     return got.where(free(F.col("_up")) & free(F.col("_down"))).select(lines.columns)
+
+
+def page_text_quality(items: DataFrame) -> DataFrame:
+    """(doc_id, page, chars, replacements, spans, longest, strong, garbled, needs_ocr) of items (doc_id, page, text).
+
+    strong: some run of text is broken beyond doubt. Replacement characters count in runs that hold enough of them;
+    whether they are many is judged for the page, and so are its letters.
+    """
+    one = items.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text")).withColumn("e", Q.cipher_evidence(F.col("text"))).withColumn("issue", Q.span_issue(F.col("text"))).withColumn("r", Q.replacement_runs(F.col("text")))
+    bad = F.col("issue") == "replacement"
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    got = one.groupBy("doc_id", "page").agg(
+        F.sum(Q.count(F.col("text"), Q.VISIBLE)).alias("chars"), total(F.when(bad, F.col("r.replacements"))).alias("replacements"), total(bad.cast("int")).alias("spans"),
+        F.coalesce(F.max(F.when(bad, F.col("r.longest"))), F.lit(0)).alias("longest"), F.coalesce(F.bool_or(F.col("issue") == "strong"), F.lit(False)).alias("strong"),
+        F.array(*[F.sum(F.col("e.counts")[k]) for k in range(26)]).alias("counts"), *[F.sum(f"e.{c}").alias(c) for c in ("letters", "vowels", "more_latin", "other", "pairs", "shifts")],
+    )
+    evidence = F.struct("counts", "letters", "vowels", "more_latin", "other", "pairs", "shifts")
+    density = F.floor(F.col("replacements") * 10_000 / F.col("chars"))
+    dense = ((F.col("replacements") >= 12) & (density >= 500)) | ((F.col("spans") >= 3) & (density >= 250)) | ((F.col("longest") >= 8) & (density >= 250))
+    broken = (F.col("replacements") > 0) & (F.col("chars") > 0) & (((F.col("chars") <= 80) & (F.col("longest") >= 2)) | dense)
+    judged = got.withColumn("garbled", Q.looks_garbled(evidence)).withColumn("needs_ocr", F.col("strong") | F.coalesce(broken, F.lit(False)) | F.col("garbled"))
+    return judged.select("doc_id", "page", "chars", "replacements", "spans", "longest", "strong", "garbled", "needs_ocr")
+
+
+def document_profile(documents: DataFrame) -> DataFrame:
+    """documents (pdf_type, pages, with_tables, with_columns, needing_ocr, ...) with mix, kind and confidence."""
+    table_share, text_share = F.col("with_tables") / F.col("pages"), F.greatest(F.col("pages") - F.col("needing_ocr"), F.lit(0)) / F.col("pages")
+    mix = (
+        F.when(F.col("pages") == 0, "mixed")
+        .when(F.col("pdf_type").isin("scanned", "image_based"), "image_dense")
+        .when(table_share > TABLE_SHARE, "table_dense")
+        .when((F.col("pdf_type") == "text_based") & (text_share > TEXT_SHARE), "text_dominant")
+        .otherwise("mixed")
+    )
+    got = documents.withColumn("mix", mix)
+    kind = F.when(F.col("pages") == 0, "unknown").when(F.col("mix") == "text_dominant", "report").when((F.col("pages") <= 2) & (F.col("with_columns") > 0), "resume").otherwise("unknown")
+    got = got.withColumn("kind", kind)
+    return got.withColumn("confidence", F.when(F.col("pages") == 0, 0.1).when(F.col("kind") == "report", 0.8).when(F.col("kind") == "resume", 0.6).otherwise(0.3))

@@ -7,12 +7,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions import geometry as G
+from pagelathe.functions import lines as L
+from pagelathe.functions import text as X
+from pagelathe.operators.ranges import banded, shares_band
 
 # Fixed values.
 LEAST_FONT, DEFAULT_FONT = 9.0, 12.0
 ROW_SHARE, LEAST_ROW, SPACE_SHARE = 0.6, 1.0, 0.15
 PARAGRAPH_GAP, PARAGRAPH_SHIFT = 8, 20
-TIER_RATIO, TIER_APART, MOST_TIERS = 1.2, 0.5, 4
+TIER_RATIO, BOLD_RATIO, TIER_APART, MOST_TIERS = 1.2, 1.05, 0.5, 4
+REGION_MARGIN, UNKNOWN_WIDTH = 1.5, 0.5
+FINANCIAL_WIDTH, LEAST_VALUES = 20, 3
 
 
 def base_font_size(items: DataFrame) -> DataFrame:
@@ -29,13 +34,22 @@ def font_rarity(items: DataFrame) -> DataFrame:
     return counts.withColumn("rarity", 1 - F.col("items") / F.sum("items").over(Window.partitionBy("doc_id")))
 
 
-def heading_tiers(items: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, tiers): sizes of TIER_RATIO times the base and more of items with a letter, largest first, TIER_APART apart."""
-    large = items.join(base, "doc_id").where((F.col("font_size") >= F.col("base") * TIER_RATIO) & F.col("text").rlike(r"\p{L}"))
-    sizes = large.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("font_size").cast("double")), asc=False).alias("s"))
+def heading_tiers(lines: DataFrame, base: DataFrame) -> DataFrame:
+    """(doc_id, tiers) of lines (doc_id, text, first_size, first_bold): the sizes of headings, largest first, TIER_APART apart.
+
+    They are the sizes of first items of TIER_RATIO times the base and more, of lines without letters none; where there
+    are none, those of bold first items of BOLD_RATIO times the base and more, of lines with a letter.
+    """
+    ratio, t = F.col("first_size") / F.col("base"), L.utrim(F.col("text"))
+    letter = t.rlike(r"\p{L}")
+    size = F.col("first_size").cast("double")
+    sizes = lines.join(base, "doc_id").groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.when((ratio >= TIER_RATIO) & (letter | (t == "")), size)), asc=False).alias("large"),
+        F.sort_array(F.collect_set(F.when((ratio >= BOLD_RATIO) & F.col("first_bold") & letter, size)), asc=False).alias("bold"),
+    )
     none = F.array().cast("array<double>")
-    apart = F.aggregate("s", none, lambda a, x: F.when(F.exists(a, lambda y: F.abs(y - x) < TIER_APART), a).otherwise(F.concat(a, F.array(x))))
-    return sizes.select("doc_id", F.slice(apart, 1, MOST_TIERS).alias("tiers"))
+    apart = F.aggregate(F.when(F.size("large") > 0, F.col("large")).otherwise(F.col("bold")), none, lambda a, x: F.when(F.exists(a, lambda y: F.abs(y - x) < TIER_APART), a).otherwise(F.concat(a, F.array(x))))
+    return sizes.select("doc_id", F.slice(apart, 1, MOST_TIERS).alias("tiers")).where(F.size("tiers") > 0)
 
 
 def heading_level(size: Column, base: Column, tiers: Column, bold: Column) -> Column:
@@ -45,11 +59,12 @@ def heading_level(size: Column, base: Column, tiers: Column, bold: Column) -> Co
     many = F.size(tiers)
     open_ended = F.when(ratio >= 2.0, 1).when(ratio >= 1.5, 2).when(ratio >= 1.25, 3).otherwise(4)
     large = F.when(near > 0, near).when(many == 0, open_ended).when(ratio >= 1.5, F.least(many + 1, F.lit(4)))
-    return F.when(ratio >= TIER_RATIO, large).when((ratio >= 1.05) & bold & (near > 0), near)
+    return F.when(ratio >= TIER_RATIO, large).when((ratio >= BOLD_RATIO) & bold & (near > 0), near)
 
 
 def item_lines(items: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, text, y, right): items of a page in rows from the top, joined with blanks at wide gaps.
+    """(doc_id, page, line_no, text, y, right, first_size, first_bold): items of a page in rows from the top, joined with
+    blanks at wide gaps; the last two are those of the leftmost item.
 
     An item is of its predecessor's row, in the order of descending y, if their centres differ by no more than
     ROW_SHARE of the greater height. y grows upwards.
@@ -68,9 +83,9 @@ def item_lines(items: DataFrame) -> DataFrame:
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(row)
     spaced = rows.withColumn("_t", F.concat(F.when(gap > F.col("font_size") * SPACE_SHARE, " ").otherwise(""), F.col("text")))
     got = spaced.groupBy("doc_id", "page", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("x", "item_no", "_t"))).alias("l"), F.max("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right")
+        F.array_sort(F.collect_list(F.struct("x", "item_no", "_t", "font_size", "is_bold"))).alias("l"), F.max("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right")
     )
-    return got.select("doc_id", "page", "line_no", F.array_join(F.transform("l", lambda i: i["_t"]), "").alias("text"), "y", "right")
+    return got.select("doc_id", "page", "line_no", F.array_join(F.transform("l", lambda i: i["_t"]), "").alias("text"), "y", "right", F.col("l")[0]["font_size"].alias("first_size"), F.col("l")[0]["is_bold"].alias("first_bold"))
 
 
 def paragraph_threshold(lines: DataFrame, base: DataFrame) -> DataFrame:
@@ -161,11 +176,18 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     return got.select("doc_id", "page", F.inline(F.aggregate("b", none, step)))
 
 
+def effective_width(item: Column) -> Column:
+    """An item's width, or a guess from its letters where it has none."""
+    return F.when(item["width"] > 0, item["width"]).otherwise(F.length(item["text"]) * item["font_size"] * UNKNOWN_WIDTH)
+
+
 def items_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
-    """(doc_id, page, region_id, n_items, width): the items whose centre lies in a region of their page."""
-    cx, cy = F.col("i.x") + F.col("i.width") / 2, F.col("i.y") + F.col("i.height") / 2
-    inside = (F.col("i.doc_id") == F.col("r.doc_id")) & (F.col("i.page") == F.col("r.page")) & cx.between(F.col("r.x0"), F.col("r.x1")) & cy.between(F.col("r.y0"), F.col("r.y1"))
-    return items.alias("i").join(regions.alias("r"), inside).groupBy("r.doc_id", "r.page", "r.region_id").agg(F.count("*").alias("n_items"), F.sum("i.width").alias("width"))
+    """(doc_id, page, region_id, n_items, width): the items that overlap a region of their page, or come within REGION_MARGIN of it."""
+    i = banded(items.withColumn("_w", effective_width(F.struct("width", "text", "font_size"))), F.col("y") - REGION_MARGIN, F.col("y") + F.col("height") + REGION_MARGIN).alias("i")
+    r = banded(regions, F.col("y0"), F.col("y1")).alias("r")
+    wide = F.least(F.col("i.x") + F.col("i._w"), F.greatest("r.x0", "r.x1") + REGION_MARGIN) - F.greatest(F.col("i.x"), F.least("r.x0", "r.x1") - REGION_MARGIN)
+    high = F.least(F.col("i.y") + F.col("i.height"), F.greatest("r.y0", "r.y1") + REGION_MARGIN) - F.greatest(F.col("i.y"), F.least("r.y0", "r.y1") - REGION_MARGIN)
+    return i.join(r, shares_band("i", "r") & (wide > 0) & (high > 0)).groupBy("r.doc_id", "r.page", "r.region_id").agg(F.count("*").alias("n_items"), F.sum("i._w").alias("width"))
 
 
 def snapped(values: DataFrame, tolerance: float) -> DataFrame:
@@ -182,3 +204,15 @@ def folio_pairs(folios: DataFrame) -> DataFrame:
     both = a.join(b, pair).select(F.explode(F.array(F.struct("a.doc_id", "a.page", "a.value"), F.struct("b.doc_id", "b.page", "b.value"))).alias("f"))
     return both.select("f.*").distinct()
 
+
+
+def split_financial(items: DataFrame) -> DataFrame:
+    """items with part: a wide item of three amounts or more, without words, becomes an item an amount, evenly spread."""
+    values = X.financial_values(F.col("text"))
+    wide = (F.col("width") > F.col("font_size") * FINANCIAL_WIDTH) & ~F.col("text").rlike(r"\p{L}{2}")
+    parts = items.withColumn("_v", F.when(wide & (F.size(values) >= LEAST_VALUES), values)).withColumn("_n", F.coalesce(F.size("_v"), F.lit(1)))
+    each = parts.select("*", F.posexplode(F.coalesce("_v", F.array("text"))).alias("part", "_t"))
+    step = F.col("width") / F.col("_n")
+    split = F.col("_v").isNotNull()
+    out = {"text": F.col("_t"), "x": F.when(split, F.col("x") + step * (F.col("part") + 0.5)).otherwise(F.col("x")), "width": F.when(split, step * 0.9).otherwise(F.col("width"))}
+    return each.select(*[out.get(c, F.col(c)).alias(c) for c in items.columns], "part")

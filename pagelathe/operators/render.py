@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CACHE_HOURS = 24
+#: More pages than any document has; a range that asks for more is an error.
+MOST_PAGES = 100_000
 
 
 def block_markdown() -> Column:
@@ -51,11 +53,36 @@ def distinct_assets(assets: DataFrame) -> DataFrame:
     )
 
 
-def page_range(spec: Column) -> Column:
-    """Sorted distinct pages of "1,3-5"; null for an empty, zero or descending range or anything else."""
-    parts = F.transform(F.split(spec, ","), lambda p: F.regexp_replace(p, r"\s", ""))
+def page_range(spec: Column, most: int = MOST_PAGES) -> Column:
+    """Sorted distinct pages of "1,3-5"; null where page_range_error() has an error."""
+    low, high = _range_ends()
+    pages = F.transform(_range_parts(spec), lambda p: F.sequence(low(p), high(p)))
+    return F.when(page_range_error(spec, most).isNull() & spec.isNotNull(), F.array_sort(F.array_distinct(F.flatten(pages))))
+
+
+def _range_parts(spec: Column) -> Column:
+    return F.transform(F.split(spec, ","), lambda p: F.regexp_replace(p, r"\s", ""))
+
+
+def _range_ends():
+    return lambda p: F.split(p, "-")[0].cast("int"), lambda p: F.element_at(F.split(p, "-"), -1).cast("int")
+
+
+def page_range_error(spec: Column, most: int = MOST_PAGES) -> Column:
+    """malformed, zero, descending, too many (more than most pages asked for), or null; nothing is expanded for it."""
+    parts = _range_parts(spec)
+    low, high = _range_ends()
     fine = F.forall(parts, lambda p: p.rlike("^[0-9]{1,9}(-[0-9]{1,9})?$"))
-    low = lambda p: F.split(p, "-")[0].cast("int")
-    high = lambda p: F.element_at(F.split(p, "-"), -1).cast("int")
-    sane = F.forall(parts, lambda p: (low(p) > 0) & (low(p) <= high(p)))
-    return F.when(fine, F.when(sane, F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p), high(p))))))))
+    asked = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + high(p) - low(p) + 1)
+    sane = F.when(F.exists(parts, lambda p: low(p) == 0), "zero").when(F.exists(parts, lambda p: low(p) > high(p)), "descending").when(asked > most, "too many")
+    return F.when(spec.isNotNull(), F.when(~fine, "malformed").otherwise(sane))
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """(entries, total_bytes) of a cache table (key, body, ...)."""
+    return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("total_bytes"))
+
+
+def data_url(png: Column) -> Column:
+    """Bytes of a PNG file as a URL of its own."""
+    return F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(png), r"[\r\n]", ""))

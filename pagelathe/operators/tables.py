@@ -39,11 +39,25 @@ def header_rows(cells: DataFrame) -> DataFrame:
 
 
 def repeated(cells: DataFrame, budget: int) -> DataFrame:
-    """cells (doc_id, row, col, text, repeat) with each cell as often as it says; documents over budget give nothing."""
-    fits = cells.groupBy("doc_id").agg(F.sum("repeat").alias("_n")).where(F.col("_n") <= budget).select("doc_id")
+    """(doc_id, row, col, text, error) of cells (doc_id, row, col, text, repeat): each cell as often as it says.
+
+    A document that would have more cells than budget gives one row, with the error "limit" and no cell.
+    """
+    size = Window.partitionBy("doc_id")
     within = Window.partitionBy("doc_id", "row").orderBy("col")
-    shifted = cells.join(fits, "doc_id", "left_semi").withColumn("_from", F.sum("repeat").over(within) - F.col("repeat"))
-    return shifted.where("repeat > 0").select("doc_id", "row", F.explode(F.expr("transform(sequence(_from, _from + repeat - 1), x -> cast(x AS int))")).alias("col"), "text")
+    known = cells.withColumn("_n", F.sum("repeat").over(size)).withColumn("_from", F.sum("repeat").over(within) - F.col("repeat"))
+    own = F.when((F.col("_n") <= budget) & (F.col("repeat") > 0), F.expr("transform(sequence(_from, _from + repeat - 1), x -> cast(x AS int))"))
+    fine = known.where(F.col("_n") <= budget).select("doc_id", "row", F.explode(own).alias("col"), "text", F.lit(None).cast("string").alias("error"))
+    over = cells.groupBy("doc_id").agg(F.sum("repeat").alias("_n")).where(F.col("_n") > budget)
+    kinds = dict(cells.dtypes)
+    return fine.union(over.select("doc_id", F.lit(None).cast(kinds["row"]), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit("limit")))
+
+
+def merge_warnings(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """(doc_id, r0, c0, r1, c1, warning) of the merges that reach beyond the grid, or whose document has none."""
+    size = cells.groupBy("doc_id").agg(F.max("row").alias("_rows"), F.max("col").alias("_cols"))
+    over = F.coalesce((F.col("r1") > F.col("_rows")) | (F.col("c1") > F.col("_cols")), F.lit(True))
+    return merges.join(size, "doc_id", "left").where(over).select("doc_id", "r0", "c0", "r1", "c1", F.lit("merged range outside the grid").alias("warning"))
 
 
 def merged_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -87,23 +101,38 @@ def html_tables(cells: DataFrame, header: int = 1) -> DataFrame:
     return whole.select("doc_id", F.concat(F.lit("<table>"), F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("</table>")).alias("html"))
 
 
-def table_checks(cells: DataFrame) -> DataFrame:
-    """(doc_id, rows, cols, data_share, consistent, key_value): what tells a table from chance alignment."""
-    filled = L.utrim(F.coalesce("text", F.lit(""))) != ""
-    n = lambda c: F.sum(c.cast("long"))
-    label = (F.col("col") == 0) & filled & F.col("text").rlike("[A-Za-z]") & ~L.is_number(F.col("text"))
-    rows = cells.groupBy("doc_id", "row").agg(n(filled).alias("f"), n(filled & L.is_number(F.col("text"))).alias("d"), F.max(F.col("col") + 1).alias("c"), n(label).alias("label"))
+def table_checks(cells: DataFrame, is_data, small_font: bool = False) -> DataFrame:
+    """(doc_id, rows, cols, data_share, consistent, key_value, table_like): what tells a table from chance alignment.
+
+    cells is a full grid (doc_id, row, col, text); is_data is the predicate of a cell that holds data. data_share and
+    table_like leave the first row out.
+    """
+    text = F.coalesce("text", F.lit(""))
+    filled, visible = text != "", L.utrim(text) != ""
+    n = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
+    first, body = L.utrim(text), F.col("row") > 0
+    label = (F.col("col") == 0) & (first.endswith(":") | ((F.octet_length(first) > 3) & first.rlike(r"^[\p{Lu}\s\p{Z}()]+$")))
+    rows = cells.groupBy("doc_id", "row").agg(
+        n(filled).alias("f"), n(visible & body).alias("v"), n(visible & body & is_data(text)).alias("d"), F.max(F.col("col") + 1).alias("c"), n(label).alias("label"), n(F.when(visible & body, F.octet_length(first))).alias("bytes")
+    )
     modes = rows.groupBy("doc_id", "f").count().groupBy("doc_id").agg(F.max_by("f", F.struct("count", "f")).alias("mode"))
-    near = F.abs(F.col("f") - F.col("mode")) <= 2
-    return (
+    cols = rows.groupBy("doc_id").agg(F.max("c").alias("cols"))
+    tolerance = F.when(F.col("cols") > 15, F.floor(F.col("cols") / 4)).otherwise(2)
+    near = (F.col("f") - F.col("mode")).between(-tolerance, tolerance)
+    got = (
         rows.join(modes, "doc_id")
+        .join(cols, "doc_id")
         .groupBy("doc_id")
         .agg(
-            F.count("*").alias("rows"), F.max("c").alias("cols"), (F.sum("d") / F.sum("f")).alias("data_share"),
-            (n(near) / F.count("*") > 0.40).alias("consistent"),
-            ((n(F.col("f") <= 2) > F.count("*") * 0.7) & (F.sum("label") > F.count("*") * 0.5) & (F.max("c") <= 6)).alias("key_value"),
+            F.count("*").alias("rows"), F.first("cols").alias("cols"), (F.sum("d") / F.sum("v")).alias("data_share"),
+            (n(near) / F.count("*")).alias("_near"), F.sum("v").alias("_v"), F.sum("bytes").alias("_bytes"),
+            ((n(F.col("f") <= 2) > F.count("*") * 0.7) & (F.sum("label") > F.count("*") * 0.5) & (F.first("cols") <= 6)).alias("key_value"),
         )
     )
+    consistent = (F.col("rows") < 3) | (F.col("_near") > F.when(F.col("cols") > 15, 0.25).otherwise(0.40))
+    short = F.lit(False) if small_font else (F.col("cols") == 2) & (F.floor(F.col("_bytes") / F.col("_v")) <= 25)
+    like = (F.col("_v") > 0) & ((F.col("data_share") > (0.2 if small_font else 0.3)) | (F.col("cols") >= 3) | short)
+    return got.select("doc_id", "rows", "cols", "data_share", consistent.alias("consistent"), "key_value", F.coalesce(like, F.lit(False)).alias("table_like"))
 
 
 def continuation_runs(tables: DataFrame) -> DataFrame:

@@ -34,13 +34,14 @@ SELECT doc_id, page, item_no FROM {INPUT_SQL['items']} i WHERE NOT EXISTS (SELEC
 """
 
 
-def _bands(spark: SparkSession, n: int, step: float) -> DataFrame:
-    docs = spark.range(97).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("band"))
+def _bands(items: DataFrame, n: int, step: float) -> DataFrame:
+    docs = items.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("band"))
     return docs.withColumn("low", F.col("band") * F.lit(step)).withColumn("high", F.col("low") + step)
 
 
 def items_in_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.in_grid(read(spark, sf_dir, "items").withColumn("text", F.trim("text")), _bands(spark, 8, 90.0), _bands(spark, 6, 100.0))
+    items = read(spark, sf_dir, "items").withColumn("text", F.trim("text"))
+    return E.in_grid(items, _bands(items, 8, 90.0), _bands(items, 6, 100.0))
 
 
 ITEMS_IN_GRID_SQL = f"""
@@ -50,7 +51,7 @@ SELECT doc_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, count(*) AS n, st
 
 
 def column_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anchors = _bands(spark, 6, 110.0).select("doc_id", F.col("band").alias("anchor"), F.col("low").alias("x"))
+    anchors = _bands(read(spark, sf_dir, "items"), 6, 110.0).select("doc_id", F.col("band").alias("anchor"), F.col("low").alias("x"))
     return E.nearest_anchor(read(spark, sf_dir, "items"), anchors, 50.0)
 
 

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions import geometry as G
 from pagelathe.functions import lines as L
+from pagelathe.operators import evidence as E
 from pagelathe.operators import layout as P
 from pagelathe.operators import model_output as J
 from pagelathe.operators import render as R
 from pagelathe.operators import tables as T
 from pagelathe.plans.inputs import INPUT_SQL, read
-from pagelathe.plans.text_queries import q
+from pagelathe.plans.text_queries import _trim, q
+
+#: evidence.is_data_like() of {t}, a trimmed text.
+E_DATA_SQL = (
+    "((regexp_matches({t}, '^[0-9.,+-]+$') AND regexp_matches({t}, '[0-9]')) OR (strlen({t}) <= 10 AND len(regexp_extract_all({t}, '[0-9]')) >= 4 AND regexp_matches({t}, '[/-]') AND regexp_matches({t}, '^[0-9/.\\-]+$'))"
+    " OR (strlen({t}) <= 10 AND regexp_matches({t}, '^[\\p{L}\\p{N}]+$') AND regexp_matches({t}, '[0-9]')) OR (regexp_matches({t}, '[0-9]') AND regexp_matches({t}, '" + E.UNITS + "')) OR regexp_matches({t}, '^\\([0-9.,+-]+\\)$'))"
+)
 
 
 def box_math(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +80,27 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merge_paragraphs(read(spark, sf_dir, "boxes"))
 
 
+PARAGRAPHS_SQL = f"""
+WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS k FROM {INPUT_SQL['boxes']}),
+w AS (
+  SELECT doc_id, page, k, 1 AS run, idx AS first_idx, 1 AS n_merged, category, text, x0, y0, x1, y1 FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.page, n.k, CASE WHEN j THEN run ELSE run + 1 END, CASE WHEN j THEN first_idx ELSE n.idx END, CASE WHEN j THEN n_merged + 1 ELSE 1 END, n.category, CASE WHEN j THEN w.text || ' ' || n.text ELSE n.text END,
+    CASE WHEN j THEN least(w.x0, n.x0) ELSE n.x0 END, CASE WHEN j THEN least(w.y0, n.y0) ELSE n.y0 END, CASE WHEN j THEN greatest(w.x1, n.x1) ELSE n.x1 END, CASE WHEN j THEN greatest(w.y1, n.y1) ELSE n.y1 END
+  FROM w JOIN n ON n.doc_id = w.doc_id AND n.page = w.page AND n.k = w.k + 1,
+  LATERAL (SELECT n.category = 'text' AND w.category = 'text' AND n.y0 - w.y1 BETWEEN 0 AND {P.PARAGRAPH_GAP} AND abs(n.x0 - w.x0) <= {P.PARAGRAPH_SHIFT} AS j) z),
+e AS (SELECT *, max(k) OVER (PARTITION BY doc_id, page, run) AS last FROM w)
+SELECT doc_id, page, first_idx, n_merged, category, text, x0, y0, x1, y1 FROM e WHERE k = last
+"""
+
+
 def region_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.items_in_regions(read(spark, sf_dir, "items"), read(spark, sf_dir, "regions"))
 
 
 REGION_ITEMS_SQL = f"""
 SELECT r.doc_id, r.page, r.region_id, count(*) AS n_items, sum(i.width) AS width FROM {INPUT_SQL['items']} i JOIN {INPUT_SQL['regions']} r
-ON i.doc_id = r.doc_id AND i.page = r.page AND i.x + i.width / 2 BETWEEN r.x0 AND r.x1 AND i.y + i.height / 2 BETWEEN r.y0 AND r.y1 GROUP BY ALL
+ON i.doc_id = r.doc_id AND i.page = r.page AND least(i.x + i.width, r.x1 + 1.5) > greatest(i.x, r.x0 - 1.5) AND least(i.y + i.height, r.y1 + 1.5) > greatest(i.y, r.y0 - 1.5) GROUP BY ALL
 """
 
 
@@ -131,7 +152,7 @@ c AS (SELECT *, y + height / 2 AS c FROM {INPUT_SQL['items']} WHERE trim(text) <
 f AS (SELECT *, CASE WHEN abs(c - lag(c) OVER w) > greatest(greatest(height, lag(height) OVER w) * {P.ROW_SHARE}, {P.LEAST_ROW}) THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no) AS line_no FROM f),
 g AS (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, page, line_no ORDER BY x, item_no) AS gap FROM r),
-rows AS (SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, string_agg(CASE WHEN gap > font_size * {P.SPACE_SHARE} THEN ' ' ELSE '' END || text, '' ORDER BY x, item_no) AS text, max(y) AS y, max(x + width) AS "right" FROM g GROUP BY ALL)
+rows AS (SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, string_agg(CASE WHEN gap > font_size * {P.SPACE_SHARE} THEN ' ' ELSE '' END || text, '' ORDER BY x, item_no) AS text, max(y) AS y, max(x + width) AS "right", first(font_size ORDER BY x, item_no) AS first_size, first(is_bold ORDER BY x, item_no) AS first_bold FROM g GROUP BY ALL)
 """
 TEXT_ROWS_SQL = f"WITH {_ROWS} SELECT * FROM rows"
 
@@ -151,9 +172,22 @@ SELECT b.doc_id, round(coalesce(CASE WHEN len(g) >= 5 THEN greatest(g[len(g) //
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "items")
     base = P.base_font_size(items)
-    joined = items.join(base, "doc_id").join(P.heading_tiers(items, base), "doc_id", "left")
+    lines = P.item_lines(items)
+    joined = lines.join(base, "doc_id").join(P.heading_tiers(lines, base), "doc_id", "left")
     tiers = F.coalesce("tiers", F.array().cast("array<double>"))
-    return joined.select("doc_id", "item_no", P.heading_level(F.col("font_size"), F.col("base"), tiers, F.col("is_bold")).alias("level"))
+    return joined.select("doc_id", "page", "line_no", P.heading_level(F.col("first_size"), F.col("base"), tiers, F.col("first_bold")).alias("level"))
+
+
+#: The sizes of the made items are two points apart, so that distinct sizes are distinct tiers.
+HEADING_LEVELS_SQL = f"""
+WITH {_ROWS}, b AS ({_BASE}), l AS (SELECT rows.*, base, first_size / base AS ratio, trim(text) AS t FROM rows JOIN b USING (doc_id)),
+z AS (SELECT doc_id, coalesce(list_sort(list(DISTINCT first_size) FILTER (ratio >= {P.TIER_RATIO} AND (t = '' OR regexp_matches(t, '\\p{{L}}'))), 'DESC'), []) AS large,
+  coalesce(list_sort(list(DISTINCT first_size) FILTER (ratio >= {P.BOLD_RATIO} AND first_bold AND regexp_matches(t, '\\p{{L}}')), 'DESC'), []) AS bold FROM l GROUP BY 1),
+t AS (SELECT doc_id, (CASE WHEN len(large) > 0 THEN large ELSE bold END)[1:{P.MOST_TIERS}] AS tiers FROM z),
+p AS (SELECT l.*, tiers, coalesce(list_position(tiers, first_size), 0) AS near, len(tiers) AS many FROM l JOIN t USING (doc_id))
+SELECT doc_id, page, line_no, CAST(CASE WHEN ratio >= {P.TIER_RATIO} THEN CASE WHEN near > 0 THEN near WHEN many = 0 THEN CASE WHEN ratio >= 2 THEN 1 WHEN ratio >= 1.5 THEN 2 WHEN ratio >= 1.25 THEN 3 ELSE 4 END WHEN ratio >= 1.5 THEN least(many + 1, 4) END
+  WHEN ratio >= {P.BOLD_RATIO} AND first_bold AND near > 0 THEN near END AS INT) AS level FROM p
+"""
 
 
 def delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +220,18 @@ def cells_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS_REPEATED_SQL = f"""
 WITH c AS (SELECT *, sum("repeat") OVER (PARTITION BY doc_id) AS n, sum("repeat") OVER (PARTITION BY doc_id, "row" ORDER BY col) - "repeat" AS f FROM {INPUT_SQL['cells']})
-SELECT doc_id, "row", CAST(unnest(range(CAST(f AS BIGINT), CAST(f AS BIGINT) + "repeat")) AS INT) AS col, text FROM c WHERE n <= 24
+SELECT doc_id, "row", CAST(unnest(range(CAST(f AS BIGINT), CAST(f AS BIGINT) + "repeat")) AS INT) AS col, text, NULL AS error FROM c WHERE n <= 24
+UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, 'limit' FROM c WHERE n > 24
+"""
+
+
+def merge_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.merge_warnings(read(spark, sf_dir, "cells").where("doc_id % 7 > 0 OR row < 2"), read(spark, sf_dir, "merges"))
+
+
+MERGE_WARNINGS_SQL = f"""
+WITH z AS (SELECT doc_id, max("row") AS rs, max(col) AS cs FROM {INPUT_SQL['cells']} WHERE doc_id % 7 > 0 OR "row" < 2 GROUP BY 1)
+SELECT m.doc_id, r0, c0, r1, c1, 'merged range outside the grid' AS warning FROM {INPUT_SQL['merges']} m LEFT JOIN z USING (doc_id) WHERE coalesce(r1 > rs OR c1 > cs, true)
 """
 
 
@@ -228,15 +273,26 @@ SELECT doc_id, string_agg(CASE WHEN k = 1 THEN line || chr(10) || '|' || repeat(
 
 
 def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table_checks(read(spark, sf_dir, "cells")).withColumn("data_share", F.round("data_share", 9))
+    cells = read(spark, sf_dir, "cells")
+    wide = cells.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "row", F.explode(F.sequence(F.col("col") * 7, F.col("col") * 7 + 6)).alias("col"), F.when((F.col("row") + F.col("col")) % 3 > 0, F.concat(F.upper("text"), F.lit(":"))).otherwise("").alias("text"))
+    narrow = cells.where("col < 2").select((F.col("doc_id") + 2_000_000).alias("doc_id"), "row", "col", F.when(F.col("col") == 0, "Total:").otherwise(F.col("text")).alias("text"))
+    grids = cells.select("doc_id", "row", "col", "text").union(wide).union(narrow)
+    return T.table_checks(grids, E.is_data_like).withColumn("data_share", F.round("data_share", 9))
 
 
-_NUM = f"(regexp_matches(trim(text), '^[0-9.,+-]+$') AND regexp_matches(trim(text), '[0-9]'))"
+_D = E_DATA_SQL.replace("{t}", "trim(text)")
+_C = INPUT_SQL["cells"]
 TABLE_CHECKS_SQL = f"""
-WITH r AS (SELECT doc_id, "row", count(*) FILTER (trim(text) <> '') AS f, count(*) FILTER (trim(text) <> '' AND {_NUM}) AS d, max(col + 1) AS c, count(*) FILTER (col = 0 AND trim(text) <> '' AND regexp_matches(text, '[A-Za-z]') AND NOT {_NUM}) AS label FROM {INPUT_SQL['cells']} GROUP BY ALL),
-m AS (SELECT doc_id, first(f ORDER BY n DESC, f DESC) AS mode FROM (SELECT doc_id, f, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1)
-SELECT r.doc_id, count(*) AS rows, max(c) AS cols, round(sum(d) / nullif(sum(f), 0), 9) AS data_share, count(*) FILTER (abs(f - mode) <= 2) / count(*) > 0.40 AS consistent,
-  count(*) FILTER (f <= 2) > count(*) * 0.7 AND sum(label) > count(*) * 0.5 AND max(c) <= 6 AS key_value FROM r JOIN m USING (doc_id) GROUP BY r.doc_id
+WITH g AS (SELECT doc_id, "row", col, text FROM {_C}
+  UNION ALL SELECT doc_id + 1000000, "row", CAST(unnest(range(col * 7, col * 7 + 7)) AS INT), CASE WHEN ("row" + col) % 3 > 0 THEN upper(text) || ':' ELSE '' END FROM {_C}
+  UNION ALL SELECT doc_id + 2000000, "row", col, CASE WHEN col = 0 THEN 'Total:' ELSE text END FROM {_C} WHERE col < 2),
+c AS (SELECT *, trim(text) <> '' AND "row" > 0 AS v, col = 0 AND (ends_with(trim(text), ':') OR (strlen(trim(text)) > 3 AND regexp_matches(trim(text), '^[\\p{{Lu}}\\s()]+$'))) AS label FROM g),
+r AS (SELECT doc_id, "row", count(*) FILTER (text <> '') AS f, count(*) FILTER (v) AS v, count(*) FILTER (v AND {_D}) AS d, count(*) FILTER (label) AS label, sum(strlen(trim(text))) FILTER (v) AS b, max(col + 1) AS c FROM c GROUP BY ALL),
+m AS (SELECT doc_id, first(f ORDER BY n DESC, f DESC) AS mode FROM (SELECT doc_id, f, count(*) AS n FROM r GROUP BY ALL) GROUP BY 1),
+z AS (SELECT r.*, mode, max(c) OVER (PARTITION BY doc_id) AS cols FROM r JOIN m USING (doc_id)),
+t AS (SELECT doc_id, count(*) AS rows, max(cols) AS cols, sum(d) / nullif(sum(v), 0) AS share, count(*) FILTER (abs(f - mode) <= CASE WHEN cols > 15 THEN cols // 4 ELSE 2 END) / count(*) AS near, sum(v) AS v, sum(b) AS b,
+  count(*) FILTER (f <= 2) > count(*) * 0.7 AND sum(label) > count(*) * 0.5 AND max(cols) <= 6 AS key_value FROM z GROUP BY 1)
+SELECT doc_id, rows, cols, round(share, 9) AS data_share, rows < 3 OR near > CASE WHEN cols > 15 THEN 0.25 ELSE 0.40 END AS consistent, key_value, v > 0 AND (coalesce(share > 0.3, false) OR cols >= 3 OR (cols = 2 AND b // v <= 25)) AS table_like FROM t
 """
 
 
@@ -318,16 +374,71 @@ def content_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.content_list(read(spark, sf_dir, "blocks"))
 
 
+_FIELD = lambda c: f"CASE WHEN {c} IS NOT NULL THEN ',\"{c}\":\"' || {c} || '\"' ELSE '' END"
+CONTENT_LISTS_SQL = f"""
+SELECT doc_id, '[' || string_agg('{{"page_num":' || page || {' || '.join(_FIELD(c) for c in ('category', 'text', 'html', 'latex', 'asset_path'))} || '}}', ',' ORDER BY page, reading_order) || ']' AS content FROM {INPUT_SQL['blocks']} GROUP BY 1
+"""
+
+
 def title_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "text_lines").select("doc_id", "line_no", L.is_title_like(F.col("line")).alias("title_like"))
 
 
+_LINE = _trim("line")
+_ITEM = f"(regexp_matches({_LINE}, '^[•\\-*○●◦] ') OR (regexp_matches(left({_LINE}, 5), '^[0-9]{{0,4}}[.)]') AND regexp_matches(left({_LINE}, 5), '[0-9]')) OR regexp_matches({_LINE}, '^(?:[A-Za-z][.)]|\\(.\\))'))"
+TITLE_LIKE_SQL = f"""
+SELECT doc_id, line_no, len(string_split_regex({_LINE}, '[\\s\\p{{Z}}]+')) BETWEEN 1 AND 12 AND length({_LINE}) BETWEEN 4 AND 140 AND regexp_matches({_LINE}, '\\p{{L}}') AND NOT regexp_matches({_LINE}, '[.,;]$') AND NOT {_ITEM}
+  AND NOT regexp_matches({_LINE}, {q(L.CAPTION)}) AND NOT regexp_matches({_LINE}, {q(L.DOT_LEADERS)}) AS title_like FROM {INPUT_SQL['text_lines']}
+"""
+
+
+def financial_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.split_financial(read(spark, sf_dir, "amounts")).select("doc_id", "item_no", "part", "text", F.round("x", 6).alias("x"), F.round("width", 6).alias("width"))
+
+
+_WORD = "[0-9,.()+%-]*[0-9][0-9,.()+%-]*"
+FINANCIAL_ITEMS_SQL = f"""
+WITH t AS (SELECT *, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS plain FROM {INPUT_SQL['amounts']}),
+v AS (SELECT *, CASE WHEN regexp_full_match(plain, '(\\$ {_WORD}|{_WORD}|[—–‒-])( (\\$ {_WORD}|{_WORD}|[—–‒-]))*') THEN regexp_extract_all(plain, '\\$ [^ ]+|[^ ]+') END AS vs FROM t),
+s AS (SELECT *, width > font_size * 20 AND NOT regexp_matches(text, '\\p{{L}}{{2}}') AND len(vs) >= 3 AS split FROM v)
+SELECT doc_id, item_no, CAST(unnest(range(0, len(vs))) AS INT) AS part, unnest(vs) AS text, round(x + width / len(vs) * (unnest(range(0, len(vs))) + 0.5), 6) AS x, round(width / len(vs) * 0.9, 6) AS width FROM s WHERE split
+UNION ALL SELECT doc_id, item_no, 0, text, round(x, 6), round(width, 6) FROM s WHERE NOT coalesce(split, false)
+"""
+
+
+def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    docs = read(spark, sf_dir, "orders").select(n.alias("doc_id"), F.when(n % 5 == 0, "scanned").when(n % 5 == 1, "mixed").otherwise("text_based").alias("pdf_type"), (n % 7).alias("pages"), F.least(n % 4, n % 7).alias("with_tables"), F.least(n % 3, n % 7).alias("with_columns"), F.least(F.col("o_custkey") % 3, n % 7).alias("needing_ocr"))
+    return E.document_profile(docs).select("doc_id", "mix", "kind", "confidence")
+
+
+DOCUMENT_PROFILES_SQL = """
+WITH d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 'scanned' WHEN o_orderkey % 5 = 1 THEN 'mixed' ELSE 'text_based' END AS pdf_type, o_orderkey % 7 AS pages, least(o_orderkey % 4, o_orderkey % 7) AS t, least(o_orderkey % 3, o_orderkey % 7) AS c, least(o_custkey % 3, o_orderkey % 7) AS o FROM orders),
+m AS (SELECT *, CASE WHEN pages = 0 THEN 'mixed' WHEN pdf_type = 'scanned' THEN 'image_dense' WHEN t * 2 > pages THEN 'table_dense' WHEN pdf_type = 'text_based' AND (pages - o) * 10 > pages * 7 THEN 'text_dominant' ELSE 'mixed' END AS mix FROM d)
+SELECT doc_id, mix, CASE WHEN pages = 0 THEN 'unknown' WHEN mix = 'text_dominant' THEN 'report' WHEN pages <= 2 AND c > 0 THEN 'resume' ELSE 'unknown' END AS kind,
+  CAST(CASE WHEN pages = 0 THEN 0.1 WHEN mix = 'text_dominant' THEN 0.8 WHEN pages <= 2 AND c > 0 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS confidence FROM m
+"""
+
+
+def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corners = F.array(*[F.col(c).cast("double") for c in ("x1", "y0", "x0", "y1")])
+    eight = F.array(*[F.col(c).cast("double") for c in ("x0", "y1", "x1", "y1", "x1", "y0", "x0", "y0")])
+    four, whole = G.polygon_bounds(corners), G.polygon_bounds(F.when(F.col("idx") % 3 == 0, F.slice(eight, 1, 6)).otherwise(eight))
+    points = G.pixels_to_points(four, F.col("idx") % 4 * 72, F.lit(5.0), F.lit(7.0))
+    return read(spark, sf_dir, "boxes").select("doc_id", "idx", four["x0"].alias("x0"), whole["y1"].alias("y1"), F.round(points["x1"], 6).alias("px"), F.round(points["y0"], 6).alias("py"))
+
+
+CROP_BOXES_SQL = f"""
+SELECT doc_id, idx, CAST(x0 AS DOUBLE) AS x0, CASE WHEN idx % 3 > 0 THEN CAST(y1 AS DOUBLE) END AS y1, round(x1 * CASE WHEN idx % 4 > 0 THEN 1.0 / (idx % 4) ELSE 1.0 END + 5, 6) AS px, round(y0 * CASE WHEN idx % 4 > 0 THEN 1.0 / (idx % 4) ELSE 1.0 END + 7, 6) AS py FROM {INPUT_SQL['boxes']}
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         box_math, boxes_kept, gap_bands, reading_order, paragraphs, region_items, snapped_edges, folio_pairs, base_fonts, font_rarity, text_rows, paragraph_thresholds, heading_levels, delimiters,
         header_rows, cells_repeated, cells_merged, tables_html, tables_markdown, table_checks, continuation_tables, otsl_tables, categories, layout_boxes, reply_cells, chat_contents,
-        degenerate_texts, blocks_markdown, content_lists, title_like,
+        degenerate_texts, blocks_markdown, content_lists, title_like, merge_warnings, financial_items, document_profiles, crop_boxes,
     )
 }
 ORACLE_SQL = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}

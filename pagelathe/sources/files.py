@@ -30,6 +30,9 @@ READERS: dict[str, Callable[[bytes, Options], Document]] = {
     "pdf": lambda d, o: _pdf_document(d, o),
 }
 
+#: Rows, and bytes of files, that go into one batch; a larger file makes a batch of its own.
+MOST_ROWS, MOST_BYTES = 2_000, 8_000_000
+
 BLOCKS = (
     "path string, format string, record string, unit_no int, unit_kind string, unit_label string, block_no int, type string, level int, depth int, marker string, ordinal int, text string, markdown string,"
     " cells array<struct<row:int,col:int,row_span:int,col_span:int,kind:string,text:string,formula:string>>, name string, media_type string, content binary, code string"
@@ -106,9 +109,18 @@ def _mapped(files: DataFrame, schema: str, rows: Callable[[str, bytes], Iterator
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[dict] = []
+            size = 0
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_py()
-                yield pa.RecordBatch.from_pylist(list(rows(path.as_py(), bytes(data) if data is not None else b"")), schema=kind)
+                own = list(rows(path.as_py(), bytes(data) if data is not None else b""))
+                held += own
+                size += len(data or b"") + len(own)
+                if len(held) >= MOST_ROWS or size >= MOST_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=kind)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=kind)
 
     return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(work, schema)
 

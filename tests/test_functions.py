@@ -118,4 +118,6 @@ def test_continuation_and_repeat(spark):
     pages = spark.createDataFrame([(1, 1, 3, 5), (1, 2, 3, 6), (1, 4, 3, 4), (1, 5, 2, 4)], "doc_id long, page int, cols int, rows int")
     assert sorted((r["first_page"], r["last_page"], r["rows"]) for r in T.continuation_runs(pages).collect()) == [(1, 2, 9), (4, 4, 4), (5, 5, 4)]
     cells = spark.createDataFrame([(1, 0, 0, "a", 2), (1, 0, 1, "b", 1), (2, 0, 0, "c", 99)], "doc_id long, row int, col int, text string, repeat int")
-    assert sorted((r["col"], r["text"]) for r in T.repeated(cells, 10).collect()) == [(0, "a"), (1, "a"), (2, "b")]
+    got = T.repeated(cells, 10).collect()
+    assert sorted((r["col"], r["text"]) for r in got if not r["error"]) == [(0, "a"), (1, "a"), (2, "b")]
+    assert [(r["doc_id"], r["col"], r["text"], r["error"]) for r in got if r["error"]] == [(2, None, None, "limit")]
