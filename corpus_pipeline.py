@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pagelathe.llm import mixing, ngram_join, packing, quality
 from pagelathe.llm.common import as_long, table, written
 
+#: A worker that packs has run the other stages too, so it remembers less than one that only packs.
+MEMO_PIECES = 300_000
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -55,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, repeats included, and their place in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))[1]
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_pieces=MEMO_PIECES)[1]
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

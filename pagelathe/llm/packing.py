@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.llm.common import as_long, ranked, table, written
-from pagelathe.llm.token_memo import memo_of, slices
+from pagelathe.llm.token_memo import MOST_PIECES, memo_of, slices
 
 SEQUENCE = 2048
 END_ID = 1
@@ -19,7 +19,7 @@ END_ID = 1
 MOST_BROADCAST_SLOTS = 200_000
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int = END_ID, memo_pieces: int = MOST_PIECES) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): whole texts encoded, end_id appended, cut every size ids.
 
     A null text is empty and gives one piece with end_id alone. Null and repeated doc_ids and repeated rows
@@ -27,7 +27,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_i
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = memo_of(tokenizer_path)
+        memo = memo_of(tokenizer_path, memo_pieces)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -127,12 +127,13 @@ def assign(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int = END_ID, memo_pieces: int = MOST_PIECES) -> tuple[DataFrame, DataFrame]:
     """(pieces, placement): the pieces with their ids as a written table, and where each lies.
 
-    Of docs only doc_id and text count. An empty table gives two empty ones.
+    Of docs only doc_id and text count. An empty table gives two empty ones. memo_pieces bounds what a worker remembers of
+    the tokenizer's work; the result does not depend on it.
     """
-    pieces = written(cut_pieces(docs, tokenizer_path, size, end_id), "pieces", compression="zstd")
+    pieces = written(cut_pieces(docs, tokenizer_path, size, end_id, memo_pieces), "pieces", compression="zstd")
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pieces, assign(digests, size)
 

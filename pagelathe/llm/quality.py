@@ -88,6 +88,19 @@ def text_features(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+_HASHED = WORD_SLOTS + PAIR_SLOTS
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes: the hashed part, of 0 to 1, in steps of 1/255, and 16-bit floats."""
+    return np.concatenate([np.round(x[:, :_HASHED] * 255).astype(np.uint8), x[:, _HASHED:].astype("<f2").view(np.uint8)], 1)
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return np.concatenate([raw[:, :_HASHED].astype(np.float32) / 255, np.ascontiguousarray(raw[:, _HASHED:]).view("<f2").astype(np.float32)], 1)
+
+
 def meta_features(frame: DataFrame) -> DataFrame:
     """frame with slots: hashed indicators of language, source and the binary logarithm of the length."""
     length = F.floor(F.log2(F.coalesce(F.char_length("text"), F.lit(0)) + 1))
@@ -162,14 +175,14 @@ class Model:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, text_view, slots) of all documents, as a written table; text_view has 16-bit floats."""
+    """(doc_id, tie, text_view, slots) of all documents, as a written table; text_view is as _packed() has it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 x = text_features(batch.column(2).to_pylist())
-                packed = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+                packed = pa.array([r.tobytes() for r in _packed(x)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3)], ["doc_id", "tie", "text_view", "slots"])
 
     read = docs.select(
@@ -180,7 +193,7 @@ def featured(docs: DataFrame) -> DataFrame:
 
 
 def _views(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    text = np.frombuffer(b"".join(r["text_view"] for r in rows), np.float16).astype(np.float32).reshape(len(rows), TEXT_FEATURES)
+    text = _unpacked([r["text_view"] for r in rows])
     return text, _meta_matrix(np.array([r["slots"] for r in rows], np.int64).reshape(len(rows), -1))
 
 
@@ -189,10 +202,11 @@ def _scored(views: DataFrame, model: Model) -> DataFrame:
     shared = views.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                text = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).astype(np.float32).reshape(-1, TEXT_FEATURES)
-                slots = batch.column(3).flatten().to_numpy().reshape(len(text), -1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                text = _unpacked(batch.column(2).to_pylist())
+                slots = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(text), -1)
                 scores = shared.value.log_odds(text, _meta_matrix(slots))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(s.astype(np.float64)) for s in scores)], [*batch.schema.names, "a", "b", "both"])
 

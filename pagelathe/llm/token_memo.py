@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The memo is emptied beyond so many pieces or characters. This bounds a worker's memory, not the result.
-MOST_PIECES = 1_200_000
-MOST_CHARS = 30_000_000
+MOST_PIECES, MOST_CHARS_A_PIECE = 1_200_000, 25
 
 _SPACE_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than a single blank or line feed, in Python's wide sense.
@@ -113,9 +112,10 @@ class _WordEnds:
 class TokenMemo:
     """Encodes batches of texts to one flat array of ids and the number of ids of each text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_pieces: int = MOST_PIECES) -> None:
         from tokenizers import Tokenizer
 
+        self.most_pieces, self.most_chars = most_pieces, most_pieces * MOST_CHARS_A_PIECE
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as f:
@@ -194,8 +194,9 @@ class TokenMemo:
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cutting and telling equal pieces apart is done by Arrow; only pieces distinct in this call become strings."""
-        if len(self.memo) > MOST_PIECES or self.chars > MOST_CHARS:
+        if len(self.memo) > self.most_pieces or self.chars > self.most_chars:
             self._reset()
+        pa.default_memory_pool().release_unused()
         array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not len(array):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -227,17 +228,17 @@ class TokenMemo:
         return self.pool[where], np.diff(upto[np.cumsum(n)], prepend=0)
 
 
-_memos: dict[str, TokenMemo] = {}
+_memos: dict[tuple[str, int], TokenMemo] = {}
 
 
-def memo_of(path: str) -> TokenMemo:
+def memo_of(path: str, most_pieces: int = MOST_PIECES) -> TokenMemo:
     """The worker's own memo for a tokenizer's file; reused from task to task."""
-    if path not in _memos:
-        _memos[path] = TokenMemo(path)
-    return _memos[path]
+    if (path, most_pieces) not in _memos:
+        _memos[path, most_pieces] = TokenMemo(path, most_pieces)
+    return _memos[path, most_pieces]
 
 
-def slices(texts: list[str | None], most_chars: int = 4_000_000):
+def slices(texts: list[str | None], most_chars: int = 2_000_000):
     """Ranges of texts that hold about so many characters: bounds what one encode() call holds."""
     start = held = 0
     for k, t in enumerate(texts):

@@ -53,9 +53,8 @@ def test_memo_of_stored_texts(spark):
             assert flat.tolist() == [i for t in texts[a : a + 37] for i in encode(t)]
 
 
-def test_memo_survives_emptying(monkeypatch):
-    monkeypatch.setattr(M, "MOST_PIECES", 3)
-    memo = M.TokenMemo(BYTE)
+def test_memo_survives_emptying():
+    memo = M.TokenMemo(BYTE, most_pieces=3)
     for text in ("one two three four five", "six seven one two"):
         assert memo.encode([text])[0].tolist() == plain(BYTE)(text)
 
