@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.llm import mixing, ngram_join, packing, quality
-from pagelathe.llm.common import as_long, table, written
+from pagelathe.llm.common import as_long, scratch, table, written
 
 #: A worker that packs has run the other stages too, so it remembers less than one that only packs.
 MEMO_PIECES = 300_000
@@ -28,18 +28,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     component has no document with an id; there, and of rows that share an id and a text, one stays. Rows that share an
     id only are documents of their own.
     """
-    found = ngram_join.linked_rows(docs, width=5, num=80, den=100)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
-    # rows of equal id and text share a class, so whether they go is one decision; only kept ones may be there twice
-    marks = (
-        found.where(F.col("n_shingles") > 0)
-        .select("doc_id", "text_key", "n_equal", kept.alias("kept"))
-        .where("NOT kept OR n_equal > 1")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
-        .count()
-        .where("NOT kept OR count > 1")
-    )
-    marks = written(marks, "near-duplicates")
+    with scratch(spark) as tables:
+        found = ngram_join.linked_rows(docs, width=5, num=80, den=100)
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_key"))
+        # rows of equal id and text share a class, so whether they go is one decision; only kept ones may be there twice
+        marks = (
+            found.where(F.col("n_shingles") > 0)
+            .select("doc_id", "text_key", "n_equal", kept.alias("kept"))
+            .where("NOT kept OR n_equal > 1")
+            .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
+            .count()
+            .where("NOT kept OR count > 1")
+        )
+        marks = tables.keep(written(marks, "near-duplicates"))
     same = as_long("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
     stays = docs.join(marks, same, "left_anti").select(DOCUMENTS)
     repeated = marks.where("kept")

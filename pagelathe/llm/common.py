@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,7 +59,38 @@ def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+class scratch:
+    """with scratch(spark) as s: tables that written() makes inside go at the end, but for those given to s.keep().
+
+    What leaves the block must hang on kept tables alone. At both ends the driver collects garbage, so that shuffle files
+    of finished jobs, which nothing can ask for any more, go too instead of staying for as long as the job runs.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> scratch:
+        self._collect()
+        self.before = set(_folders)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._folder)
+        return df
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        for path in [p for p in _folders if p not in self.before and p not in self.kept]:
+            remove_folder(self.spark, path)
+        self._collect()
+
+    def _collect(self) -> None:
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -100,7 +132,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     equi-join, its result a written table; nothing but one count reaches the driver. Nodes without an edge
     do not appear.
     """
-    spark = edges.sparkSession
+    with scratch(edges.sparkSession) as tables:
+        now = tables.keep(_stars(edges, a, b, most_rounds))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def _stars(edges: DataFrame, a: str, b: str, most_rounds: int) -> DataFrame:
     now = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "star"
     )
@@ -127,9 +166,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         now = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return now
 
 
 def as_long(column: str) -> Column:

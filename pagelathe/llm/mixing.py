@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import as_long, ranked, table, written
+from pagelathe.llm.common import as_long, ranked, scratch, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source's target and no document's copies exceed so many times its words.
@@ -149,11 +149,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     wide = docs.drop("size", "source_size", "target", "copies")
     key = F.xxhash64("text")
     rows = wide.select(as_long("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), key.alias("_key"), word_count(F.col("text").cast("string")).alias("_each"))
-    units = rows.groupBy("_id", "_source", "_key").agg(F.sum("_each").alias("_size"), F.first("_each").alias("size"))
-    units = written(units.withColumn("_class", _class_of(F.col("_size"))), "mix-units")
-    plan = mix_plan(units, units).select(F.col("_id").alias("_i"), F.col("_source").alias("_s"), "_key", "size", "source_size", "target", "copies")
+    with scratch(docs.sparkSession) as tables:
+        units = rows.groupBy("_id", "_source", "_key").agg(F.sum("_each").alias("_size"), F.first("_each").alias("size"))
+        units = written(units.withColumn("_class", _class_of(F.col("_size"))), "mix-units")
+        plan = mix_plan(units, units).select(F.col("_id").alias("_i"), F.col("_source").alias("_s"), "_key", "size", "source_size", "target", "copies")
+        plan = tables.keep(written(plan, "mix-plan"))
     same = as_long("doc_id").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (key == F.col("_key"))
-    return wide.join(written(plan, "mix-plan"), same).drop("_i", "_s", "_key")
+    return wide.join(plan, same).drop("_i", "_s", "_key")
 
 
 def mix_plan(sizes: DataFrame, rows: DataFrame) -> DataFrame:

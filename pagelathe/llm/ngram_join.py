@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import as_long, components, ranked, table, written
+from pagelathe.llm.common import as_long, components, ranked, scratch, table, written
 from pagelathe.llm.shingles import byte_slices, lower_ascii, set_signature, shingle_sets
 
 #: Counters of the sketch, a power of two. Being approximate, they only order the n-grams.
@@ -318,6 +318,20 @@ def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     text_key is xxhash64(text). Of a component's (doc_id, text_key), (keep_id, keep_key) is the smallest, null ids last;
     component_id does not tell components apart where ids are null or repeated. Rows with empty sets have nulls there.
     """
+    with scratch(docs.sparkSession) as tables:
+        profiles, known = _known(docs, width, num, den, long_column, block)
+        tables.keep(profiles)
+        tables.keep(known)
+    rows = profiles.where("chunk IS NULL").select("doc_id", "text_key", "n", "sig")
+    full = rows.where("n > 0").join(known, F.col("sig") == F.col("s"))
+    out = ("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "n_links", "text_key", "n_equal", "keep_id", "keep_key")
+    none = F.lit(None).cast("long")
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "text_key", none.alias("n_equal"), none.alias("keep_id"), none.alias("keep_key"))
+    return full.select(*out).union(empty)
+
+
+def _known(docs: DataFrame, width: int, num: int, den: int, long_column: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The profile of every row, and of every class of equal sets its component and links."""
     key = secrets.randbits(64)
     profiles = _profiles(docs, width, key)
     rows = profiles.where("chunk IS NULL").select("doc_id", "text_key", "n", "sig")
@@ -370,11 +384,7 @@ def linked_rows(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     known = labelled.join(smallest, F.col("label") == F.col("l")).select(
         F.col("sig").alias("s"), "least", F.col("docs").alias("n_equal"), F.col("keep.rep_id").alias("keep_id"), F.col("keep.rep_key").alias("keep_key"), (F.col("links") + F.col("docs") - 1).alias("n_links")
     )
-    full = rows.where("n > 0").join(written(known, "known"), F.col("sig") == F.col("s"))
-    out = ("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "n_links", "text_key", "n_equal", "keep_id", "keep_key")
-    none = F.lit(None).cast("long")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "text_key", none.alias("n_equal"), none.alias("keep_id"), none.alias("keep_key"))
-    return full.select(*out).union(empty)
+    return profiles, written(known, "known")
 
 
 OP2_SQL = r"""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm.common import as_long, table, written
+from pagelathe.llm.common import as_long, scratch, table, written
 from pagelathe.llm.shingles import mix, word_hashes
 
 #: Labelled rows that are used: those with the smallest hash of their doc_id.
@@ -326,9 +326,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, all columns as they were."""
     # equal (doc_id, tie) are equal rows as far as scoring goes, so they stand or fall together
-    verdict = scored(docs, labels).where("NOT keep").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    with scratch(docs.sparkSession) as tables:
+        verdict = scored(docs, labels).where("NOT keep").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+        rejected = tables.keep(written(verdict, "rejected"))
     same = as_long("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text", "lang", "source") == F.col("_tie"))
-    return docs.join(written(verdict, "rejected"), same, "left_anti")
+    return docs.join(rejected, same, "left_anti")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
