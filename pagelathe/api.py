@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from pagelathe import transport
 from pagelathe.operators import model_output
+from pagelathe.operators import pdf_markdown as pdf_layout
+from pagelathe.functions import geometry as G
 from pagelathe.operators.documents import format_profile, route
+from pagelathe.operators.layout import reading_order
 from pagelathe.sources import files
 from pagelathe.sources.model import Document, DocumentError, Limits, Options, document_markdown
 from pagelathe.sources.package import detect
@@ -49,8 +52,22 @@ def _json_cells(replies: DataFrame) -> DataFrame:
     return cells.select("doc_id", "line_no", *[corner(k).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))], F.col("c.category").alias("raw"), F.col("c.text").alias("text"))
 
 
+def _polygons(replies: DataFrame) -> DataFrame:
+    """Boxes of replies that are lists of polygons with text: {"rec_texts": [...], "rec_polys": [[[x, y], ...], ...]}."""
+    kind = "struct<rec_texts:array<string>,rec_polys:array<array<array<double>>>>"
+    found = replies.select("doc_id", F.from_json("body", kind).alias("r")).select("doc_id", F.posexplode(F.arrays_zip("r.rec_texts", "r.rec_polys")).alias("line_no", "c"))
+    points = F.transform("c.rec_polys", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    b = G.bounds(points)
+    return found.where(F.size("c.rec_polys") > 0).select("doc_id", "line_no", *[F.round(b[k]).cast("int").alias(k) for k in ("x0", "y0", "x1", "y1")], F.lit("text").alias("raw"), F.col("c.rec_texts").alias("text"))
+
+
+def in_reading_order(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, page, line_no, x0, y0, x1, y1, ...) with reading_order by recursive cuts, for protocols that give none."""
+    return blocks.join(reading_order(blocks.withColumnRenamed("line_no", "idx")).withColumnRenamed("idx", "line_no"), ["doc_id", "page", "line_no"])
+
+
 #: Protocol to the function that turns its replies (doc_id, body) into boxes. Replies come as a DataFrame; no call is made.
-PROTOCOLS: dict[str, Callable[[DataFrame], DataFrame]] = {"mineru-vlm": model_output.layout_tokens, "dots-ocr": _json_cells, "monkeyocr-v2": _json_cells, "pipeline": _json_cells}
+PROTOCOLS: dict[str, Callable[[DataFrame], DataFrame]] = {"mineru-vlm": model_output.layout_tokens, "dots-ocr": _json_cells, "monkeyocr-v2": _json_cells, "pipeline": _json_cells, "paddleocr": _polygons}
 
 
 def replies_to_blocks(replies: DataFrame, protocol: str) -> DataFrame:
@@ -81,6 +98,17 @@ def parse(df: DataFrame, options: ParseOptions | None = None) -> DataFrame:
     return only_pages(files.parsed(df.repartition(options.concurrency), options.reader()), options.pages)
 
 
+def pdf_markdown(df: DataFrame, options: pdf_layout.MarkdownOptions | None = None, pages: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, markdown) of PDF files (path, content) by the full layout: columns, headings, lists, code; of pages only, if given."""
+    items = pdf_layout.styled(files.pdf_items(df))
+    return pdf_layout.markdown_of_items(items.where(F.col("page").isin(list(pages))) if pages else items, options)
+
+
+def ingest(df: DataFrame, options: ParseOptions | None = None) -> tuple[DataFrame, DataFrame]:
+    """(profiles, rows) of files (path, content) in one call: what classify() tells of each, and what parse() reads of it."""
+    return classify(df), parse(df, options)
+
+
 def parse_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, options: ParseOptions | None = None):
     """Parse files as they arrive in a folder, in windows of options.effective_window files."""
     from pagelathe.streaming import ingest
@@ -136,5 +164,5 @@ def parse_bytes(data: bytes, name: str = "", options: ParseOptions | None = None
 
 
 __all__ = [
-    "EXIT_CODES", "PROTOCOLS", "DocumentError", "ParseOptions", "answered", "cache_clear", "cache_stat", "only_pages", "parse_stream", "request", "classify", "detect", "document_json", "document_markdown", "error_class", "parse", "parse_bytes", "replies_to_blocks",
+    "EXIT_CODES", "PROTOCOLS", "DocumentError", "ParseOptions", "answered", "cache_clear", "cache_stat", "ingest", "only_pages", "parse_stream", "pdf_markdown", "request", "classify", "detect", "document_json", "document_markdown", "error_class", "parse", "parse_bytes", "replies_to_blocks",
 ]

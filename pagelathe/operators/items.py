@@ -124,20 +124,20 @@ def unspaced(items: DataFrame, spacing: DataFrame) -> DataFrame:
     return items.join(spacing, ["doc_id", "page"]).withColumn("text", fixed).drop("spaced")
 
 
-def grouped_lines(items: DataFrame) -> DataFrame:
-    """(doc_id, page, item_no, line_no): the items of one column in lines, in stream order unless that jumps about.
+def grouped_lines(items: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """(keys, item_no, line_no, line_y): the items of one column in lines, in stream order unless that jumps about.
 
     An item opens a line if it is off the last line's height; if, a little off, it begins where that line began or goes
     back; or if a wide void parts two pieces of prose of which the second goes on in lower case or in another weight.
     """
-    stream = Window.partitionBy("doc_id", "page").orderBy("item_no")
+    stream = Window.partitionBy(*keys).orderBy("item_no")
     t = L.utrim(F.col("text"))
     step = F.col("y") - F.lag("y").over(stream)
     seen = items.withColumn("_step", step).select(
-        "doc_id", "page", "item_no", "x", "y", "width", "font_size", "is_bold", F.col("_step"), _words(t).alias("words"), F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"), F.regexp_extract(t, r"^(\p{L})", 1).alias("first")
+        *keys, "item_no", "x", "y", "width", "font_size", "is_bold", F.col("_step"), _words(t).alias("words"), F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"), F.regexp_extract(t, r"^(\p{L})", 1).alias("first")
     )
     item = F.struct("item_no", "x", "y", "width", "font_size", "is_bold", "words", "letters", "first")
-    pages = seen.groupBy("doc_id", "page").agg(
+    pages = seen.groupBy(*keys).agg(
         F.collect_list(item).alias("items"), F.count("*").alias("n"), F.sum((F.col("_step") > JUMP).cast("int")).alias("up"), F.sum((F.col("_step") < -JUMP).cast("int")).alias("down")
     )
     up, down = F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))
@@ -146,7 +146,7 @@ def grouped_lines(items: DataFrame) -> DataFrame:
     ordered = pages.withColumn("_sort", chaotic).withColumn("items", F.array_sort(F.transform("items", place)))
     none = F.struct(
         F.lit(0).alias("line"), F.lit(0.0).alias("y"), F.lit(0.0).alias("first_x"), F.lit(0.0).alias("last_x"), F.lit(0.0).alias("right"), F.lit(0.0).alias("size"), F.lit(True).alias("bold"), F.lit(0).alias("words"), F.lit(0).alias("letters"),
-        F.array().cast("array<struct<item_no:bigint,line_no:int>>").alias("out"),
+        F.array().cast("array<struct<item_no:bigint,line_no:int,line_y:double>>").alias("out"),
     )
 
     def add(s: Column, placed: Column) -> Column:
@@ -162,10 +162,10 @@ def grouped_lines(items: DataFrame) -> DataFrame:
         return F.struct(
             line.alias("line"), keep(s["y"], i["y"]).alias("y"), keep(s["first_x"], i["x"]).alias("first_x"), i["x"].alias("last_x"), (i["x"] + i["width"]).alias("right"), i["font_size"].alias("size"),
             keep(s["bold"] & i["is_bold"], i["is_bold"]).alias("bold"), keep(s["words"] + i["words"], i["words"]).alias("words"), keep(s["letters"] + i["letters"], i["letters"]).alias("letters"),
-            F.concat(s["out"], F.array(F.struct(i["item_no"].cast("bigint").alias("item_no"), line.alias("line_no")))).alias("out"),
+            F.concat(s["out"], F.array(F.struct(i["item_no"].cast("bigint").alias("item_no"), line.alias("line_no"), keep(s["y"], i["y"]).alias("line_y")))).alias("out"),
         )
 
-    return ordered.select("doc_id", "page", F.inline(F.aggregate("items", none, add)["out"]))
+    return ordered.select(*keys, F.inline(F.aggregate("items", none, add)["out"]))
 
 
 def _reading(items: DataFrame) -> DataFrame:

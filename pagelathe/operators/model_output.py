@@ -34,6 +34,7 @@ CATEGORIES: dict[str, dict[str, str]] = {
         "chart": "chart", "interlineequation": "equation", "list": "list", "index": "index", "header": "header", "footer": "footer", "pagenumber": "page_number",
         "footnote": "footnote", "discarded": "discarded",
     },
+    "paddleocr": {"text": "text"},
 }
 MOST_COORDINATE = 1000
 TOKENS = r"<\|box_start\|>([0-9]+)\s+([0-9]+)\s+([0-9]+)\s+([0-9]+)<\|box_end\|><\|ref_start\|>([A-Za-z0-9_]+)(?:<\|ref_end\|>)?(.*)$"

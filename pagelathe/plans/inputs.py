@@ -84,6 +84,14 @@ _EXPR: dict[str, tuple[str, dict[str, str]]] = {
         " WHEN o_custkey % 20 = 8 THEN 'tail ' WHEN o_custkey % 20 = 9 THEN '世界' WHEN o_custkey % 20 = 10 THEN '-' WHEN o_custkey % 20 = 11 THEN '(x)' WHEN o_custkey % 20 = 12 THEN '.com' WHEN o_custkey % 20 = 13 THEN 'hello world again and more' WHEN o_custkey % 20 = 14 THEN 'enterta'"
         " WHEN o_custkey % 20 = 15 THEN 'inment' WHEN o_custkey % 20 = 16 THEN '   ' WHEN o_custkey % 20 = 17 THEN 'Mixed Words here too' WHEN o_custkey % 20 = 18 THEN 'שלום עולם' ELSE 'H' END",
     }),
+    "two_columns": ("orders", {
+        "doc_id": "CAST(floor(o_orderkey / 100) AS BIGINT)", "page": "1", "item_no": "o_orderkey", "place": "o_orderkey % 100", "news": "floor(o_orderkey / 100) % 3 > 0",
+        "x": "CAST(CASE WHEN o_orderkey % 100 = 0 THEN 50 WHEN o_orderkey % 100 % 2 = 1 THEN 50 + o_custkey % 3 ELSE 320 + o_custkey % 3 END AS DOUBLE)",
+        "y": "CAST(CASE WHEN o_orderkey % 100 = 0 THEN 750 WHEN floor(o_orderkey / 100) % 3 = 0 THEN 720 - floor((o_orderkey % 100 - 1) / 2) * 40 ELSE 720 - floor((o_orderkey % 100 - 1) / 2) * 12 END AS DOUBLE)",
+        "width": "CAST(CASE WHEN o_orderkey % 100 = 0 THEN 480 ELSE 200 + o_custkey % 30 END AS DOUBLE)", "height": "CAST(10 AS DOUBLE)", "font_size": "CAST(CASE WHEN o_orderkey % 100 = 0 THEN 18 ELSE 10 END AS DOUBLE)",
+        "font": "'Times'", "is_bold": "o_orderkey % 100 = 0", "is_italic": "false", "is_underline": "false",
+        "text": "CASE WHEN o_orderkey % 100 = 0 THEN concat('Title of paper ', CAST(o_custkey AS STRING)) WHEN o_orderkey % 100 > 24 AND floor(o_orderkey / 100) % 3 = 0 THEN '' ELSE concat('words of line ', CAST(o_orderkey AS STRING)) END",
+    }),
     "rects": ("orders", {
         "doc_id": "CAST(floor(o_orderkey / 48) AS BIGINT)", "page": "CAST(floor(o_orderkey % 48 / 24) AS INT)", "rect_no": "o_orderkey", "x": "CAST(o_orderkey * 37 % 300 AS DOUBLE)", "y": "CAST(o_orderkey * 53 % 400 AS DOUBLE)",
         "width": "CAST(CASE WHEN o_custkey % 9 = 0 THEN -30 ELSE 5 + o_custkey % 60 END AS DOUBLE)", "height": "CAST(CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE 3 + o_custkey % 40 END AS DOUBLE)",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pagelathe import transport
 from pagelathe.functions import text as X
+from pagelathe.operators import columns as C
 from pagelathe.operators import items as I
+from pagelathe.operators import pdf_markdown as M
 from pagelathe.plans.inputs import INPUT_SQL, read
 from pagelathe.plans.text_queries import _trim, q
 
@@ -91,7 +93,7 @@ SELECT doc_id, page, line_no, string_agg(plain, '' ORDER BY place, item_no) AS t
 
 
 def grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.grouped_lines(read(spark, sf_dir, "runs"))
+    return I.grouped_lines(read(spark, sf_dir, "runs")).drop("line_y")
 
 
 GROUPED_LINES_SQL = f"""
@@ -303,11 +305,33 @@ a AS (SELECT *, CASE WHEN status = 200 AND valid THEN 'done' WHEN (status IS NUL
 SELECT *, CAST(CASE WHEN action = 'retry' THEN CASE WHEN retry_after IS NOT NULL AND (status = 429 OR status >= 500) THEN least(retry_after, 30) * 1000 ELSE least(50 * pow(2, least(attempt - 1, 20)), 5000) END END AS BIGINT) AS most_delay_ms FROM a
 """
 
+def reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.reading_lines(read(spark, sf_dir, "two_columns")).select("doc_id", "page", "item_no", "line_no")
+
+
+#: The made pages have a title over two columns. Those of many lines are read column by column, those of few and wide
+#: apart row by row.
+READING_LINES_SQL = f"""
+WITH i AS (SELECT *, place % 2 = 1 AS is_left, CAST(floor((place - 1) / 2) AS INT) AS row_no, count(*) FILTER (place > 0 AND place % 2 = 1) OVER (PARTITION BY doc_id) AS lefts, count(*) OVER (PARTITION BY doc_id) AS n FROM {INPUT_SQL['two_columns']} WHERE text <> '')
+SELECT doc_id, page, item_no, CAST(CASE WHEN place = 0 THEN 0 WHEN NOT news THEN row_no + 1 WHEN is_left THEN row_no + 1 ELSE lefts + row_no + 1 END AS INT) AS line_no FROM i
+"""
+
+
+def paper_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.markdown_of_items(read(spark, sf_dir, "two_columns").where("news AND place < 80"))
+
+
+#: Of the same pages: the title as a heading, each column as a paragraph; the second begins where the height jumps back.
+PAPER_MARKDOWN_SQL = f"""
+WITH i AS (SELECT * FROM {INPUT_SQL['two_columns']} WHERE news AND place < 80)
+SELECT doc_id, '# ' || first(text) FILTER (place = 0) || chr(10) || chr(10) || string_agg(text, ' ' ORDER BY place) FILTER (place % 2 = 1) || chr(10) || chr(10) || string_agg(text, ' ' ORDER BY place) FILTER (place > 0 AND place % 2 = 0) || chr(10) AS markdown FROM i GROUP BY 1
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         letter_spacing, item_joins, line_texts, grouped_lines, turned_items, distinct_rects, band_contents, horizontal_rules, rect_clusters, line_styles, body_styles, cluster_counts, grid_places, line_roles,
-        table_choice, folio_candidates, column_histogram, retry_plan,
+        table_choice, folio_candidates, column_histogram, retry_plan, reading_lines, paper_markdown,
     )
 }
 ORACLE_SQL = {name: globals()[f"{name.upper()}_SQL"] for name in QUERIES if f"{name.upper()}_SQL" in globals()}

@@ -2,15 +2,18 @@
 
 import json
 
+import numpy as np
 import pytest
 from pagelathe import api, transport
 from pagelathe.__main__ import main, pages_of
 from pagelathe.functions import lines as L
 from pagelathe.functions import quality as Q
 from pagelathe.functions import text as X
+from pagelathe.operators import columns as C
 from pagelathe.operators import evidence as E
 from pagelathe.operators import items as I
 from pagelathe.operators import layout as P
+from pagelathe.operators import pdf_markdown as M
 from pagelathe.operators import render as R
 from pagelathe.operators import tables as T
 from pyspark.sql import functions as F
@@ -203,3 +206,42 @@ def test_pages_and_cache(spark, tmp_path, capsys):
         api.parse(rows, api.ParseOptions(protocol="nope"))
     endpoint, body = api.request(api.ParseOptions(protocol="dots-ocr", endpoint="http://e", model="m"), "hi")
     assert endpoint == "http://e" and body["model"] == "m"
+
+
+def test_columns_of_pages():
+    rnd = np.random.default_rng(3)
+    left = [(50.0, 220 + rnd.integers(0, 8), 700.0 - 12 * k) for k in range(30)]
+    right = [(310.0, 220 + rnd.integers(0, 8), 700.0 - 12 * k) for k in range(30)]
+    x, w, y = (np.array(c, float) for c in zip(*left, *right, (50.0, 480.0, 740.0), strict=True))
+    none = np.zeros(len(x), bool)
+    edges = C.column_edges(x, w, y, none)
+    assert len(edges) == 3 and 278 < edges[1] < 310
+    assert C.column_of_items(edges, x, w, y).tolist() == [0] * 30 + [1] * 30 + [-1]
+    assert len(C.column_edges(x[:30], w[:30], y[:30], none[:30])) == 2
+    bullets = np.array([True] * 30 + [False] * 31)
+    assert len(C.column_edges(np.where(bullets, 50.0, 300.0), np.where(bullets, 5.0, 220.0), y, bullets)) in (2, 3)
+    assert C.column_edges(np.array([50.0] * 12 + [300.0] * 12), np.array([5.0] * 12 + [220.0] * 12), np.array([700.0 - 12 * k for k in range(12)] * 2), np.array([True] * 12 + [False] * 12))[1:-1] in ([], [177.5])
+
+
+def markdown(spark, rows, **options):
+    got = M.markdown_of_items(items(spark, rows), M.MarkdownOptions(**options)).collect()
+    return got[0]["markdown"] if got else ""
+
+
+def test_markdown_of_lines(spark):
+    body = [(f"body text of line {k} that fills the page", 50, 600 - 12 * k, 400) for k in range(6)]
+    page = [("A Large Heading", 50, 700, 150, {"font_size": 18}), ("Figure 3 shows it", 50, 660, 100), *body, ("• one item", 60, 500, 60), ("that goes on", 70, 488, 60), ("2) next item", 60, 476, 60), ("x = f(y)", 50, 430, 60, {"font": "Courier"}), ("return x", 50, 418, 60, {"font": "Courier"}), ("See http://a.example/b.", 50, 380, 120), ("12", 300, 20, 10)]
+    out = markdown(spark, page)
+    assert out.startswith("# A Large Heading\n\nFigure 3 shows it\n\nbody text of line 0 that fills the page body text of line 1")
+    assert "- one item that goes on\n2) next item\n" in out and "```\nx = f(y)\nreturn x\n```" in out
+    assert "See [http://a.example/b](http://a.example/b)." in out and not out.rstrip().endswith("12")
+    assert "http://a.example/b](" not in markdown(spark, page, link_urls=False) and markdown(spark, page, page_numbers_out=False).rstrip().endswith("12")
+    assert markdown(spark, page, page_marks=True).startswith("<!-- Page 1 -->\n\n# A") and "# A" not in markdown(spark, page, headings=False)
+    assert markdown(spark, [(f"plain {k}", 50, 600 - 12 * k, 300) for k in range(6)] + [("bold", 50, 528, 20, {"bold": True})] + [("end of it", 75, 528, 60)]).endswith("**bold** end of it\n")
+
+
+def test_paddle_and_order(spark):
+    body = json.dumps({"rec_texts": ["b", "a"], "rec_polys": [[[0, 20], [50, 20], [50, 30], [0, 30]], [[0, 0], [50.4, 0], [50, 10], [0, 10]]]})
+    got = api.replies_to_blocks(spark.createDataFrame([(1, body), (2, "x")], "doc_id long, body string"), "paddleocr").withColumn("page", F.lit(1))
+    rows = sorted(api.in_reading_order(got).collect(), key=lambda r: r["reading_order"])
+    assert [(r["text"], r["x1"], r["category"]) for r in rows] == [("a", 50, "text"), ("b", 50, "text")]
