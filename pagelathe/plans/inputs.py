@@ -104,11 +104,11 @@ _EXPR: dict[str, tuple[str, dict[str, str]]] = {
         "doc_id": "o_custkey", "item_no": "o_orderkey", "x": "CAST(o_orderkey % 300 AS DOUBLE)", "width": "CAST(60 + o_orderkey % 7 * 60 AS DOUBLE)", "font_size": "CAST(8 + o_orderkey % 3 AS DOUBLE)",
         "text": "CASE WHEN o_orderkey % 6 = 0 THEN concat('$ ', CAST(o_custkey AS STRING), ' (1,5) — ') WHEN o_orderkey % 6 = 1 THEN concat(CAST(o_custkey AS STRING), '  2%  - $ 3') WHEN o_orderkey % 6 = 2 THEN 'Land $ 77,1 2 3' WHEN o_orderkey % 6 = 3 THEN '1 2 $' WHEN o_orderkey % 6 = 4 THEN '' ELSE '4 5' END",
     }),
-    "odd_texts": ("orders", {
-        "id": "o_orderkey",
-        "text": "CASE WHEN o_orderkey % 12 = 0 THEN repeat('Qrzx', 60) WHEN o_orderkey % 12 = 1 THEN concat('ﬁ', 'ﬂ ', 'oﬀer') WHEN o_orderkey % 12 = 2 THEN repeat('a$b', 30) WHEN o_orderkey % 12 = 3 THEN concat('x', repeat('', CAST(o_custkey % 5 AS INT)), 'y') WHEN o_orderkey % 12 = 4 THEN repeat(concat(chr(131), 'q', chr(130)), CAST(o_custkey % 9 AS INT))"
-        " WHEN o_orderkey % 12 = 5 THEN repeat('éèü', CAST(o_custkey % 20 AS INT)) WHEN o_orderkey % 12 = 6 THEN concat('the cat ', repeat('�', CAST(o_custkey % 4 AS INT)), ' and the dog') WHEN o_orderkey % 12 = 7 THEN concat('שלום ', o_orderstatus, ' עולם') WHEN o_orderkey % 12 = 8 THEN '世界 and 日本'"
-        " WHEN o_orderkey % 12 = 9 THEN repeat('wkh txlfn eurzq ira ', CAST(10 + o_custkey % 9 AS INT)) WHEN o_orderkey % 12 = 10 THEN repeat('hJkT bDmQ ', CAST(20 + o_custkey % 9 AS INT)) ELSE concat('S = kB ln W, (', CAST(o_custkey % 30 AS STRING), ')') END",
+    "odd_texts": ("part", {
+        "id": "p_partkey",
+        "text": "CASE WHEN p_partkey % 12 = 0 THEN repeat('Qrzx', 60) WHEN p_partkey % 12 = 1 THEN concat('ﬁ', 'ﬂ ', 'oﬀer') WHEN p_partkey % 12 = 2 THEN repeat('a$b', 30) WHEN p_partkey % 12 = 3 THEN concat('x', repeat('', CAST(p_size % 5 AS INT)), 'y') WHEN p_partkey % 12 = 4 THEN repeat(concat(chr(131), 'q', chr(130)), CAST(p_size % 9 AS INT))"
+        " WHEN p_partkey % 12 = 5 THEN repeat('éèü', CAST(p_size % 20 AS INT)) WHEN p_partkey % 12 = 6 THEN concat('the cat ', repeat('�', CAST(p_size % 4 AS INT)), ' and the dog') WHEN p_partkey % 12 = 7 THEN concat('שלום ', p_brand, ' עולם') WHEN p_partkey % 12 = 8 THEN '世界 and 日本'"
+        " WHEN p_partkey % 12 = 9 THEN repeat('wkh txlfn eurzq ira ', CAST(10 + p_size % 9 AS INT)) WHEN p_partkey % 12 = 10 THEN repeat('hJkT bDmQ ', CAST(20 + p_size % 9 AS INT)) ELSE concat('S = kB ln W, (', CAST(p_size % 30 AS STRING), ')') END",
     }),
     "ranges": ("part", {
         "id": "p_partkey", "spec": "CASE WHEN p_size % 6 = 0 THEN '' WHEN p_size % 6 = 1 THEN '5,1' WHEN p_size % 6 = 2 THEN '4-2' WHEN p_size % 6 = 3 THEN concat('1-', CAST(p_size AS STRING), ',2') WHEN p_size % 12 = 4 THEN '0' WHEN p_size % 12 = 10 THEN '3,1-999999999' ELSE concat(CAST(p_size AS STRING), ' , 3-4') END",
