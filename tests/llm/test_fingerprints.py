@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 from collections import Counter
@@ -60,3 +61,71 @@ def test_odd_rows(odd_docs, docs):
     (one,) = P.fingerprinted(docs([(4, "only one document here")])).collect()
     assert one["near_next"] == 1.0
     assert P.fingerprinted(docs([])).collect() == []
+
+
+def plain_places(x):
+    """Places of the features of one byte string, window by window."""
+    scaled = [0] + [round(c * log2(c) * 65536) for c in range(1, P.WINDOW + 1)]
+    windows = [x[k : k + P.WINDOW] for k in range(len(x) - P.WINDOW + 1)]
+    scores = [(scaled[P.WINDOW] - sum(scaled[n] for n in Counter(w).values())) * 1000 // scaled[P.WINDOW] for w in windows]
+    wins = Counter()
+    for k in range(len(windows)):
+        near = [(1000 - abs(scores[j] - P.TYPICAL), j) for j in range(k, min(k + P.STRETCH, len(windows))) if scores[j] >= P.DEGENERATE]
+        if near:
+            wins[min(near)[1]] += 1
+    places = sorted(k for k, n in wins.items() if n >= P.POPULAR)
+    return places or ([min(wins, key=lambda k: (-wins[k], k))] if wins else [])
+
+
+def plain_likeness(a, b):
+    """The same from two fingerprints as they are written, bit by bit."""
+    if not a or not b:
+        return float(a == b)
+    (n, x), (m, y) = ((int(s.partition(":")[0]), base64.b64decode(s.partition(":")[2])) for s in (a, b))
+    filters = [[int.from_bytes(s[k : k + P.FILTER_BITS // 8], "big") for k in range(0, len(s), P.FILTER_BITS // 8)] for s in (x, y)]
+    if len(filters[0]) > len(filters[1]):
+        filters, n = filters[::-1], m
+    score = weight = 0.0
+    for k, f in enumerate(filters[0]):
+        best = 0.0
+        for g in filters[1]:
+            chance = f.bit_count() * g.bit_count() / P.FILTER_BITS
+            best = max(best, ((f & g).bit_count() - chance) / max(min(f.bit_count(), g.bit_count()) - chance, 1e-9))
+        own = P.FILTER_FEATURES if k < len(filters[0]) - 1 else n - P.FILTER_FEATURES * k
+        score, weight = score + min(1.0, best) * own, weight + own
+    return score / weight
+
+
+def test_features_and_likeness_against_plain_code():
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefg hij\n") for _ in range(rnd.randrange(24, 900))) for _ in range(30)] + ["ab" * 200, "x" * 300, "short"]
+    for t in texts:
+        piece, place, _ = P._features([t.encode()])
+        assert place.tolist() == plain_places(t.encode()) and not piece.any()
+    found = [str(d) for d in P.digests([*texts, texts[0][:-100] + texts[1], ""])]
+    for a, b in zip(P.digests(texts), P.digests([*texts[1:], texts[0]]), strict=True):
+        assert abs(P.likeness(a, b) - plain_likeness(str(a), str(b))) < 1e-9
+    assert 0 < plain_likeness(found[0], found[-2]) <= 1 and plain_likeness(found[0], found[0]) == 1 and plain_likeness(found[0], found[-1]) == 0
+
+
+def test_long_texts_of_few_features_are_read_whole(monkeypatch):
+    """Two texts of one period that differ far behind their first windows have different fingerprints."""
+    a, b = "ab" * 20_000, "ab" * 15_000 + "cdcdcdcd" + "ab" * 4_996
+    one, two = P.digests([a, b])
+    assert str(one) != str(two) and two.features > one.features
+    monkeypatch.setattr(P, "_SEGMENT", 1 << 10)
+    assert [str(d) for d in P.digests([a])] == [str(one)]
+
+
+def test_the_registered_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r for r in P.op8_fingerprints(spark, sf).collect()}
+    order = sorted(rows, key=lambda r: r[0], reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 3
+        changed = t[: len(t) - cut] + after[:cut]
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert abs(got[i]["near_edited"] - plain_likeness(got[i]["fingerprint"], got[i]["edited_fingerprint"])) < 1e-9
+        assert abs(got[i]["near_next"] - plain_likeness(got[i]["fingerprint"], got[order[(k + 1) % len(order)][0]]["fingerprint"])) < 1e-9
